@@ -107,8 +107,18 @@ PATTERN, SLOTS = _compile()
 
 
 def _lookup(pairs: dict[str, int], key: Column) -> Column:
-    flat = [F.lit(x) for kv in pairs.items() for x in kv]
-    return F.try_element_at(F.create_map(*flat), key)
+    """The number of ``key`` in a small fixed table, or NULL. The table is one text searched for
+    the key; a map literal would be compared entry by entry through a generic ordering."""
+    text = "".join(f"\u0002{k}\u0003{v:+05d}" for k, v in pairs.items())
+    at = F.position(F.concat(F.lit("\u0002"), key, F.lit("\u0003")), F.lit(text))
+    return F.when(at > 0, F.substring(F.lit(text), at + F.length(key) + 2, F.lit(5)).cast("int"))
+
+
+def _apart(c: Column) -> Column:
+    """``c`` itself, through a higher-order function. A projection that holds one stays out of
+    whole-stage codegen: the chain below would become one method larger than the JIT compiles,
+    where a projection's own generated code is split into small methods."""
+    return F.transform(F.array(c), lambda x: x).getItem(0)
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
@@ -134,7 +144,7 @@ def with_utc(df: DataFrame, value: str, zone: str, locale: str, anchor: str, out
     parts = F.split(F.regexp_replace(F.translate(F.col(value), SLOT, ""), PATTERN, SLOTS), SLOT)
     df = df.withColumn("__ts_parts", parts)
     df = df.withColumn("__ts_parts", F.when(F.size("__ts_parts") == len(_PARTS) + 1, F.col("__ts_parts")))
-    df = df.withColumn("__ts_n", F.transform(F.slice("__ts_parts", 2, len(_NUMBERS)), lambda x: x.try_cast("bigint")))
+    df = df.withColumn("__ts_n", F.transform(F.slice("__ts_parts", 2, len(_NUMBERS)), lambda x: F.when(x != "", x.cast("bigint"))))
     num = {p: F.col("__ts_n").getItem(i) for i, p in enumerate(_NUMBERS)}
     text = {p: F.col("__ts_parts").getItem(i + 1 + len(_NUMBERS)) for i, p in enumerate(_TEXTS)}
     names = {name: m for m, line in MONTHS.items() for name in line.split()}
@@ -151,7 +161,7 @@ def with_utc(df: DataFrame, value: str, zone: str, locale: str, anchor: str, out
         "__ts_y": F.when(num["y"] < 100, F.when(F.length(F.col("__ts_parts").getItem(1)) == 2, num["y"] + 2000)).otherwise(num["y"]),
         "__ts_m": F.coalesce(named, F.when(swap, first).otherwise(second)),
         "__ts_d": F.when(swap, second).otherwise(first),
-        "__ts_h": hour,
+        "__ts_h": _apart(hour),
         "__ts_mi": F.coalesce(num["mi"], F.lit(0)),
         "__ts_s": F.coalesce(num["s"], F.lit(0)),
         "__ts_f": F.rpad(text["f"], 6, "0").cast("bigint"),
@@ -170,10 +180,10 @@ def with_utc(df: DataFrame, value: str, zone: str, locale: str, anchor: str, out
     df = df.withColumns({
         "__ts_y": F.when(real, y),
         "__ts_abs": F.coalesce(num["es"] * 1_000_000 + micros, num["em"] * 1000, at - num["rh"] * HOUR_US),
-        "__ts_back": local_day - back,
+        "__ts_back": _apart(local_day - back),
     })
     time_us = ((h * 60 + mi) * 60 + s) * 1_000_000 + micros
-    df = df.withColumn("__ts_day", F.coalesce(days_from_civil(y, m, d), F.col("__ts_back")))
+    df = df.withColumn("__ts_day", _apart(F.coalesce(days_from_civil(y, m, d), F.col("__ts_back"))))
     df = df.withColumn("__ts_local", F.col("__ts_day") * DAY_US + F.when(y.isNotNull(), time_us).otherwise(0))
     local = F.col("__ts_local")
     by_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), home))
