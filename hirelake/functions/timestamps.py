@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.functions.plan import fenced
 from hirelake.sources.tables import broadcast_small, table
 
 SLOT = "\u0001"
@@ -188,9 +189,8 @@ def with_utc(df: DataFrame, value: str, zone: str, locale: str, anchor: str, out
     local = F.col("__ts_local")
     by_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), home))
     utc = F.coalesce(F.col("__ts_abs"), F.when(off.isNotNull(), local - off * MINUTE_US).otherwise(by_zone)).cast("bigint")
-    # the partition id makes the projection nondeterministic to Catalyst: a later filter on ``out``
-    # then stays above it, where pushing it down would inline, and so repeat, the whole chain
-    df = df.withColumn(out, F.when(F.spark_partition_id() >= 0, utc))
+    # fenced: a later filter on ``out`` would otherwise inline, and so repeat, the whole chain
+    df = df.withColumn(out, fenced(utc))
     return df.drop(*(c for c in df.columns if c.startswith("__ts_")))
 
 
