@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import survivorship, truncation
+from hirelake.llm import canonical, survivorship, truncation
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "p1_found": truncation.p1_found,
         "p1_rates": truncation.p1_rates,
         "p1_limits": truncation.p1_limits,
+        "p2_found": canonical.p2_found,
         "p3_found": survivorship.p3_found,
         "p3_survivors": survivorship.p3_survivors,
         "p3_votes": survivorship.p3_votes,
