@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import canonical, names, survivorship, truncation
+from hirelake.llm import canonical, names, neardup, survivorship, truncation
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "p2_found": canonical.p2_found,
         "p3_found": survivorship.p3_found,
         "p3_survivors": survivorship.p3_survivors,
+        "p4_found": neardup.p4_found,
+        "p4_classes": neardup.p4_classes,
         "p6_found": names.p6_found,
         "p6_entities": names.p6_entities,
         "p3_votes": survivorship.p3_votes,
