@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import canonical, names, neardup, survivorship, truncation
+from hirelake.llm import canonical, names, neardup, survivorship, tokens, truncation
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "p4_classes": neardup.p4_classes,
         "p6_found": names.p6_found,
         "p6_entities": names.p6_entities,
+        "p7_ids": tokens.p7_ids,
+        "p7_lengths": tokens.p7_lengths,
         "p3_votes": survivorship.p3_votes,
     }
 
