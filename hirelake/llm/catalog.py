@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import canonical, names, neardup, survivorship, tokens, truncation
+from hirelake.llm import canonical, mixing, names, neardup, survivorship, tokens, truncation
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "p6_entities": names.p6_entities,
         "p7_ids": tokens.p7_ids,
         "p7_lengths": tokens.p7_lengths,
+        "p8_documents": mixing.p8_documents,
+        "p8_shares": mixing.p8_shares,
         "p3_votes": survivorship.p3_votes,
     }
 
