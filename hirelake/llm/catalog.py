@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import canonical, mixing, names, neardup, survivorship, tokens, truncation
+from hirelake.llm import canonical, mixing, names, neardup, subjects, survivorship, tokens, truncation
 
 
 def queries() -> dict:
@@ -21,6 +21,8 @@ def queries() -> dict:
         "p7_lengths": tokens.p7_lengths,
         "p8_documents": mixing.p8_documents,
         "p8_shares": mixing.p8_shares,
+        "p9_found": subjects.p9_found,
+        "p9_composition": subjects.p9_composition,
         "p3_votes": survivorship.p3_votes,
     }
 
