@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from hirelake.functions import timestamps
-
-Query = Callable[[SparkSession, str], DataFrame]
+from hirelake.plans.oracles import ORACLES
+from hirelake.plans.queries import QUERIES, Query, flagship  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": timestamps.p5_found}
+    return {"p5_found": timestamps.p5_found, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
