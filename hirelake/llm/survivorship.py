@@ -63,12 +63,15 @@ def _rows(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(broadcast_small(boards.select("board", "time_zone", "locale", "trust")), "board", "left"), boards
 
 
-def _long(spark, sf_dir: str) -> DataFrame:
-    """(key, field, ord, merit, size, fetched_at) for the fields with an order of merit of their own."""
+def _long(spark, sf_dir: str, least_rows: int = 1) -> DataFrame:
+    """(key, field, ord, merit, size, fetched_at) for the fields with an order of merit of their own,
+    for keys of at least ``least_rows`` rows. Whether a text is cut is judged against all texts."""
     rows, boards = _rows(spark, sf_dir)
-    rows = rows.where(F.col("dedup_key").isNotNull())
     texts = rows.select("ord", F.col("board").alias("source"), F.col("description_snippet").alias("description"), T.has_clutter(F.col("description_snippet")).alias("cluttered"))
-    base = rows.select("ord", F.xxhash64("dedup_key").alias("h"), F.col("dedup_key").alias("key"), "fetched_at")
+    rows = rows.where(F.col("dedup_key").isNotNull())
+    if least_rows > 1:
+        rows = rows.join(rows.groupBy("dedup_key").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_rows), "dedup_key", "left_semi")
+    base = rows.select("ord", F.col("dedup_key").alias("key"), "fetched_at")
     d = description_merit(texts).withColumnsRenamed({"merit": "d_merit", "size": "d_size"})
     s = source_list_merit(rows, boards).withColumnRenamed("merit", "s_merit")
     wide = base.join(d, "ord", "left").join(s, "ord", "left")
@@ -81,7 +84,7 @@ def _long(spark, sf_dir: str) -> DataFrame:
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
     """(dedup_key, field, ord): the row whose description and source list survive, for each key of two or more rows."""
-    best = winners(_long(spark, sf_dir), ["merit", "size", "fetched_at", "ord"])
+    best = winners(_long(spark, sf_dir, least_rows=2), ["merit", "size", "fetched_at", "ord"])
     return best.where((F.col("n_rows") > 1) & F.col("ord").isNotNull()).select(F.col("key").alias("dedup_key"), "field", "ord")
 
 
