@@ -74,7 +74,42 @@ _SESSION_KEYS = "(SELECT unnest(job_dedup_keys) AS k FROM search_sessions)"
 _URLS = f"x AS (SELECT {_KEY} AS key, unnest(list_concat([url], coalesce([s.url FOR s IN raw_sources], []))) AS url FROM job_cache), v AS (SELECT url, count(DISTINCT key) AS n_keys FROM x WHERE coalesce(url, '') <> '' GROUP BY url HAVING count(DISTINCT key) > 1)"
 _ONE = "SELECT * FROM job_cache WHERE dedup_key IS NOT NULL AND ord % 3 {} 0 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY ord) = 1"
 
+_DISTINCT = lambda a: f"[x FOR x, i IN {a} IF list_position({a}, x) = i]"
+_MATCHED = " + ".join(f"contains(lower(coalesce(description, '')), '{s}')::BIGINT" for s in SKILLS)
+_GAP = f"greatest(coalesce(list_max([CASE WHEN length(y) <= 4 THEN y::BIGINT ELSE 9999 END FOR y IN {_YEARS}]), 0) - 5, 0)"
+_SCORE = f"least(({_MATCHED}) * 2 + 2, CASE WHEN {_GAP} > 5 THEN 3 WHEN {_GAP} > 2 THEN 5 ELSE 10 END)"
+
 ORACLES: dict[str, str] = {
+    "fn12_skill_tokens": r"SELECT session_key, array_to_string(list_sort(list_distinct([w FOR w IN regexp_split_to_array(lower(array_to_string(coalesce(roles, []), ',')), '[\s/\-,]+') IF length(w) > 1])), ' ') AS tokens FROM search_sessions",
+    "fn16_lenient_dates": r"WITH v AS (SELECT ord, epoch_us(try_strptime(date_posted, ['%Y-%m-%d', '%m/%d/%Y'])) AS utc_us, date_posted FROM job_cache) SELECT ord, utc_us FROM v WHERE regexp_matches(date_posted, '^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$')",
+    "fn20_cache_key": "SELECT group_id, split_part(cache_key, '::', 1) || '::' || array_to_string(list_sort(string_split(split_part(cache_key, '::', 2), ',')), '_') AS own_key FROM title_groups",
+    "fn24_json_arrays": "SELECT id, len(roles)::BIGINT AS n FROM search_stats",
+    "fn26_flat_assessment": "SELECT ord, assessment.score::BIGINT AS score, assessment.is_relevant AS is_relevant, array_to_string(assessment.matched_keywords, '|') AS keywords FROM job_cache",
+    "fn27_score_bars": "SELECT ord, repeat('#', assessment.score) || repeat('.', 10 - assessment.score) AS bar FROM job_cache WHERE assessment IS NOT NULL",
+    "fn31_funnel_rates": f"WITH {_FUNNEL} SELECT id, coalesce(scraped, 0) AS scraped, coalesce(saved, 0) AS saved, {_RATE('assessed - saved', 'assessed')} AS rejected_rate FROM f",
+    "fn32_summary_lines": "WITH f AS (SELECT id, " + ", ".join(f"try_cast(json_extract_string(funnel, '$.{k}') AS BIGINT) AS {n}" for k, n in (("scraped_total", "scraped"), ("saved", "saved"), ("llm_assessed", "assessed"), ("skip_dup", "dup"))) + " FROM search_stats) SELECT id, concat_ws('; ', " + ", ".join(f"CASE WHEN coalesce({c}, 0) > 0 THEN '{label}: ' || {c} END" for label, c in (("scraped", "scraped"), ("duplicates", "dup"), ("assessed", "assessed"), ("saved", "saved"))) + ") AS line FROM f",
+    "fn36_card_lines": "SELECT ord, 'id=' || ord || ' | title=' || coalesce(title, '') || ' | company=' || coalesce(company, '') AS value FROM job_cache",
+    "pred_11_expired_sessions": f"SELECT session_key FROM search_sessions WHERE {_NOW_US} - epoch_us(created_at) > 24 * 3600000000",
+    "pred_14_threshold": f"WITH {_POST} SELECT ord FROM p WHERE {_SCORE} >= 6",
+    "pred_18_models": "SELECT id FROM search_stats WHERE coalesce(model, '') <> '' AND NOT regexp_matches(model, 'embed|mini|vision', 'i')",
+    "jn02_own_or_collected": f"WITH {_POST}, k AS (SELECT *, {_KEY} AS key FROM p), g AS (SELECT key, source, min(ord) AS o FROM k WHERE source <> 'talentquay.example' GROUP BY 1, 2), a AS (SELECT key, string_agg(source, '|' ORDER BY o) AS s FROM g GROUP BY 1) SELECT ord, coalesce(a.s, source) AS sources FROM k LEFT JOIN a USING (key)",
+    "jn08_passing_ids": f"WITH {_POST} SELECT ord FROM p WHERE {_MATCHED} > 0 AND {_GAP} <= 5",
+    "a08_tokens_of_named": "SELECT sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM search_stats WHERE coalesce(provider, '') <> ''",
+    "a11_rejection_alarm": "SELECT sources[1] AS board, count(*) AS n, count_if(NOT assessment.is_relevant)::BIGINT AS rejected, count(*) >= 5 AND count_if(NOT assessment.is_relevant) >= 0.9 * count(*) AS alarm FROM job_cache WHERE assessment IS NOT NULL GROUP BY 1",
+    "a12_distinct_words": rf"SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(canonical), '[\s/\-]+')) AS w FROM title_groups) WHERE length(w) > 1 AND NOT list_contains({_LIST(T.ROLE_STOPWORDS)}, w)",
+    "a14_affected": f"SELECT count(*) AS n FROM job_cache WHERE dedup_key IN {_SESSION_KEYS}",
+    "l04_assessed_view": "SELECT ord, assessment.score::BIGINT AS score FROM (SELECT * FROM job_cache ORDER BY fetched_at DESC, ord DESC LIMIT 200) WHERE assessment IS NOT NULL",
+    "l06_top_models": "SELECT DISTINCT model FROM search_stats WHERE coalesce(model, '') <> '' ORDER BY model DESC LIMIT 6",
+    "l10_groups_by_count": "SELECT group_id, dense_rank() OVER (PARTITION BY cache_key ORDER BY cnt DESC) AS place FROM title_groups",
+    "l13_slices": "SELECT session_key, array_to_string(coalesce(roles, [])[1:2], '|') AS roles FROM search_sessions",
+    "u02_union_of_roles": "SELECT url, ord FROM job_cache WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord % 3, ord) = 1",
+    "u05_shared_words": f"SELECT ord, array_to_string(list_sort(list_intersect({_TOKENS}, {_LIST(ROLE_WORDS)})), ' ') AS words FROM job_cache",
+    "u06_first_keys": "SELECT dedup_key, min(ord) AS ord FROM job_cache GROUP BY 1",
+    "u08_added_roles": f"SELECT session_key, array_to_string({_DISTINCT("list_append(coalesce(roles, []), 'Barista')")}, '|') AS roles FROM search_sessions",
+    "snk03_merge_source": f"SELECT ord, array_to_string(CASE WHEN dedup_key IN {_SESSION_KEYS} THEN {_DISTINCT("list_append(sources, 'archive.example')")} ELSE {_DISTINCT('sources')} END, '|') AS sources FROM job_cache",
+    "snk04_session_upsert": "SELECT session_key, location, CASE WHEN coalesce(len(job_dedup_keys), 0) > 2 THEN 0 ELSE coalesce(len(job_dedup_keys), 0) END::BIGINT AS n, epoch_us(created_at) + (coalesce(len(job_dedup_keys), 0) > 2)::BIGINT AS at FROM search_sessions",
+    "snk09_write_assessments": "WITH f AS (SELECT dedup_key, min(ord) % 11 AS fresh FROM job_cache WHERE assessment IS NULL AND ord % 5 = 0 GROUP BY 1) SELECT ord, coalesce(assessment.score::BIGINT, fresh) AS score FROM job_cache LEFT JOIN f USING (dedup_key)",
+    "t02_live_by_ttl": f"SELECT cache_key, max(epoch_us(cached_at)) >= {_NOW_US} - 7 * {_DAY} AS live FROM title_groups GROUP BY 1",
     "fn01_company_key": _value(_company("company")),
     "fn02_title_key": _value(_title("title")),
     "fn03_posting_key": _value(_KEY),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import predicates as P
 from hirelake.functions import text as T
+from hirelake.functions.timestamps import with_utc
 from hirelake.operators import dedup as D
 from hirelake.operators import scoring as S
 from hirelake.operators import store as K
@@ -165,7 +166,85 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).select("ord", F.md5(text).alias("md"))
 
 
+def _lenient_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Plain dates read month first, as UTC."""
+    p = postings(spark, d).where(F.rlike("date_posted", F.lit(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$")))
+    p = p.withColumns({"zone": F.lit("UTC"), "locale": F.lit("en-US"), "anchor": now()})
+    return with_utc(p, "date_posted", "zone", "locale", "anchor").select("ord", "utc_us")
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda label, c: F.when(F.coalesce(c, F.lit(0)) > 0, F.concat(F.lit(f"{label}: "), c.cast("string")))
+    return _funnel_json(spark, d).select("id", F.concat_ws("; ", part("scraped", _c("scraped")), part("duplicates", _c("dup")), part("assessed", _c("assessed")), part("saved", _c("saved"))).alias("line"))
+
+
+def _own_or_collected_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with the sources collected for its key; its own source where none are."""
+    p = postings(spark, d).withColumn("key", T.posting_key(_c("company"), _c("title")))
+    collected = D.sources_of_keys(p.where("source <> 'talentquay.example'")).select("key", F.array_join(F.transform("entries", lambda x: x["source"]), "|").alias("all"))
+    return p.join(collected, "key", "left").select("ord", F.coalesce("all", "source").alias("sources"))
+
+
+def _merged_source(spark: SparkSession, d: str) -> DataFrame:
+    """One source appended to the listed keys, if absent; unknown keys change nothing."""
+    keys = table(spark, d, "search_sessions").select(F.explode("job_dedup_keys").alias("dedup_key")).distinct().withColumn("__new", F.lit("archive.example"))
+    j = table(spark, d, "job_cache").join(keys, "dedup_key", "left")
+    return j.select("ord", F.array_join(F.when(F.col("__new").isNull(), F.array_distinct("sources")).otherwise(F.array_union("sources", F.array("__new"))), "|").alias("sources"))
+
+
+def _assessments(spark: SparkSession, d: str) -> DataFrame:
+    """Scores written to the unassessed rows of a key; assessed rows keep theirs."""
+    j = table(spark, d, "job_cache").select("ord", "dedup_key", "assessment")
+    fresh = j.where("assessment is null and ord % 5 = 0").groupBy("dedup_key").agg((F.min("ord") % 11).alias("fresh"))
+    return j.join(fresh, "dedup_key", "left").select("ord", F.coalesce(F.col("assessment.score").cast("bigint"), "fresh").alias("score"))
+
+
+def _rejection_alarm(spark: SparkSession, d: str) -> DataFrame:
+    """Boards of whose assessed rows, five at least, nine tenths are rejected."""
+    j = table(spark, d, "job_cache").where("assessment is not null").groupBy(F.element_at("sources", 1).alias("board"))
+    r = j.agg(F.count("*").alias("n"), F.count_if(~F.col("assessment.is_relevant")).alias("rejected"))
+    return r.select("board", "n", "rejected", ((F.col("n") >= 5) & (F.col("rejected") >= 0.9 * F.col("n"))).alias("alarm"))
+
+
+def _sessions_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Two states of the sessions merged: keys and time of the later, all else of the earlier."""
+    s = table(spark, d, "search_sessions").select("session_key", "location", F.size(F.coalesce("job_dedup_keys", F.array().cast("array<string>"))).cast("bigint").alias("n"), F.unix_micros("created_at").alias("at"))
+    old, new = s, s.where("n > 2").withColumns({"location": F.lit("changed"), "n": F.lit(0).cast("bigint"), "at": F.col("at") + 1})
+    o, n = old.alias("o"), new.alias("n")
+    return o.join(n, "session_key", "full_outer").select("session_key", F.coalesce("o.location", F.when(F.col("o.at").isNull(), F.col("n.location"))).alias("location"), F.coalesce("n.n", "o.n").alias("n"), F.coalesce("n.at", "o.at").alias("at"))
+
+
 QUERIES: dict[str, Query] = {
+    "fn12_skill_tokens": lambda s, d: table(s, d, "search_sessions").select("session_key", F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.array_join(F.coalesce("roles", F.array().cast("array<string>")), ",")), r"[\s/\-,]+"), lambda w: F.length(w) > 1))), " ").alias("tokens")),
+    "fn16_lenient_dates": _lenient_dates,
+    "fn20_cache_key": lambda s, d: table(s, d, "title_groups").select("group_id", F.concat(F.split("cache_key", "::").getItem(0), F.lit("::"), F.array_join(F.array_sort(F.split(F.split("cache_key", "::").getItem(1), ",")), "_")).alias("own_key")),
+    "fn24_json_arrays": lambda s, d: table(s, d, "search_stats").select("id", F.size(F.from_json(F.to_json("roles"), "array<string>")).cast("bigint").alias("n")),
+    "fn26_flat_assessment": lambda s, d: table(s, d, "job_cache").select("ord", _c("assessment.score").cast("bigint").alias("score"), "assessment.is_relevant", F.array_join("assessment.matched_keywords", "|").alias("keywords")),
+    "fn27_score_bars": lambda s, d: table(s, d, "job_cache").where("assessment is not null").select("ord", F.concat(F.repeat(F.lit("#"), F.col("assessment.score")), F.repeat(F.lit("."), 10 - F.col("assessment.score"))).alias("bar")),
+    "fn31_funnel_rates": lambda s, d: _funnel_json(s, d).select("id", F.coalesce("scraped", F.lit(0)).alias("scraped"), F.coalesce("saved", F.lit(0)).alias("saved"), T.rate(_c("assessed") - _c("saved"), _c("assessed")).alias("rejected_rate")),
+    "fn32_summary_lines": _summary,
+    "fn36_card_lines": _value(lambda _: F.concat(F.lit("id="), F.col("ord").cast("string"), F.lit(" | title="), F.coalesce("title", F.lit("")), F.lit(" | company="), F.coalesce("company", F.lit("")))),
+    "pred_11_expired_sessions": lambda s, d: table(s, d, "search_sessions").where(F.unix_micros(now()) - F.unix_micros("created_at") > 24 * 3_600_000_000).select("session_key"),
+    "pred_14_threshold": lambda s, d: S.scored(postings(s, d), "description", SKILLS, 5).where(F.col("score") / 10 >= 0.6).select("ord"),
+    "pred_18_models": lambda s, d: table(s, d, "search_stats").where(F.coalesce("model", F.lit("")) != "").where(~F.rlike("model", F.lit(r"(?i)embed|mini|vision"))).select("id"),
+    "jn02_own_or_collected": _own_or_collected_sources,
+    "jn08_passing_ids": lambda s, d: K.with_keys(postings(s, d).select("ord", "title"), S.scored(postings(s, d), "description", SKILLS, 5).where("relevant"), "ord").select("ord"),
+    "a08_tokens_of_named": lambda s, d: table(s, d, "search_stats").where("coalesce(provider, '') <> ''").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")),
+    "a11_rejection_alarm": _rejection_alarm,
+    "a12_distinct_words": lambda s, d: table(s, d, "title_groups").select(F.explode(T.role_words(_c("canonical"))).alias("word")).distinct(),
+    "a14_affected": lambda s, d: K.with_keys(table(s, d, "job_cache"), table(s, d, "search_sessions").select(F.explode("job_dedup_keys").alias("dedup_key")), "dedup_key").agg(F.count("*").alias("n")),
+    "l04_assessed_view": lambda s, d: table(s, d, "job_cache").orderBy(F.desc("fetched_at"), F.desc("ord")).limit(200).where("assessment is not null").select("ord", _c("assessment.score").cast("bigint").alias("score")),
+    "l06_top_models": lambda s, d: table(s, d, "search_stats").where("coalesce(model, '') <> ''").select("model").distinct().orderBy(F.desc("model")).limit(6),
+    "l10_groups_by_count": lambda s, d: table(s, d, "title_groups").select("group_id", F.dense_rank().over(Window.partitionBy("cache_key").orderBy(F.desc("cnt"))).cast("bigint").alias("place")),
+    "l13_slices": lambda s, d: table(s, d, "search_sessions").select("session_key", F.array_join(F.slice(F.coalesce("roles", F.array().cast("array<string>")), 1, 2), "|").alias("roles")),
+    "u02_union_of_roles": lambda s, d: D.union_first([postings(s, d).where(f"url is not null and ord % 3 = {i}") for i in range(3)], "url").select("url", "ord"),
+    "u05_shared_words": lambda s, d: postings(s, d).select("ord", F.array_join(F.array_sort(F.array_intersect(T.title_tokens(_c("title")), F.array(*(F.lit(w) for w in ROLE_WORDS)))), " ").alias("words")),
+    "u06_first_keys": lambda s, d: table(s, d, "job_cache").groupBy("dedup_key").agg(F.min("ord").alias("ord")),
+    "u08_added_roles": lambda s, d: table(s, d, "search_sessions").select("session_key", F.array_join(F.array_union(F.coalesce("roles", F.array().cast("array<string>")), F.array(F.lit("Barista"))), "|").alias("roles")),
+    "snk03_merge_source": _merged_source,
+    "snk04_session_upsert": _sessions_upsert,
+    "snk09_write_assessments": _assessments,
+    "t02_live_by_ttl": lambda s, d: table(s, d, "title_groups").groupBy("cache_key").agg(F.max(F.unix_micros("cached_at")).alias("at")).select("cache_key", (F.col("at") >= F.unix_micros(now()) - 7 * 86_400_000_000).alias("live")),
     "fn01_company_key": _value(lambda _: T.company_key(_c("company"))),
     "fn02_title_key": _value(lambda _: T.title_key(_c("title"))),
     "fn03_posting_key": _value(lambda _: T.posting_key(_c("company"), _c("title"))),
