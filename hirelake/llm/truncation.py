@@ -4,8 +4,8 @@ The length of a text is treated as a discrete survival time. For each source, wi
 give the hazard of every length (rows that end there, of those at least as long) and the hazard of
 its neighbours; lengths whose hazard is far above are found under false-discovery control
 (Benjamini-Hochberg). At such a length any ending without a closing mark is a cut. Elsewhere an
-ending must itself be incomplete: it holds a marker of a cut, or its last words end no other
-sentence or line of the whole collection. Counts cover all rows.
+ending must itself be incomplete: it holds a marker of a cut, or its last words end no closed sentence
+(for a list item, no other line) of the whole collection. Counts cover all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from hirelake.sources.tables import table
 
 FDR = 0.01
 NEIGHBOURS = 25
-END_WORDS = 3
+#: Words at the end of a sentence, and of a line or list item that needs no closing mark.
+END_WORDS, LINE_END_WORDS = 4, 3
+BULLETS = "*•·▪◦–-"
 START_WORDS = 4
 
 
@@ -57,8 +59,9 @@ def _core(sentence: Column) -> Column:
     return F.concat(F.lit("^ "), F.ltrim(F.rtrim(sentence, F.lit(".!?…。！？)]\"'”’»: \t")), F.lit("*•·▪◦–- \t")))
 
 
-def _end_key(core: Column) -> Column:
-    return F.xxhash64(F.lit("e"), F.substring_index(core, " ", -END_WORDS))
+def _end_key(core: Column, line: Column) -> Column:
+    """Key of the last words; ends of sentences and of lines without a closing mark are told apart."""
+    return F.when(line, F.xxhash64(F.lit("l"), F.substring_index(core, " ", -LINE_END_WORDS))).otherwise(F.xxhash64(F.lit("e"), F.substring_index(core, " ", -END_WORDS)))
 
 
 def _start_key(core: Column) -> Column:
@@ -88,24 +91,26 @@ def features(df: DataFrame, text: str, source: str, keep: list[str]) -> DataFram
     whole = (last == "") | _closed(last) | F.rlike(last, F.lit(T.LABEL))
     df = df.withColumn("ending", F.when(F.col("__kind").isNotNull(), F.col("__kind")).when(F.coalesce(whole, F.lit(True)), "whole").otherwise("open"))
     df = df.withColumn("__core", F.when(F.col("ending").isin("dots", "open"), _core(_normal(last))))
+    df = df.withColumn("__item", F.left(F.ltrim(last), F.lit(1)).isin(*BULLETS))
     df = df.withColumn("opening", F.xxhash64(F.substring("__text", 1, 40)))
     c = F.col("__core")
     n_words = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return df.select(*keep, "source", "n_chars", "ending", "opening", n_words.alias("n_words"), _end_key(c).alias("end_key"), _start_key(c).alias("start_key"), F.xxhash64(c).alias("whole_key"))
+    return df.select(*keep, "source", "n_chars", "ending", "opening", n_words.alias("n_words"), _end_key(c, F.col("__item")).alias("end_key"), _start_key(c).alias("start_key"), F.xxhash64(c).alias("whole_key"))
 
 
 def _known_keys(df: DataFrame, text: str) -> DataFrame:
     """(key, n): how often each end of a finished sentence or line, and each beginning, occurs in all texts.
 
-    The last sentence of a text counts as an end only with its closing mark. Keys are hashes of a few
+    Ends of closed sentences and of inner lines without a closing mark have keys of their own; the last
+    sentence of a text counts as an end only with its closing mark. Keys are hashes of a few
     words, so their counting is combined before the shuffle, and the rows shuffled are 16 bytes wide.
     """
     body = _normal(T.without_tail_clutter(F.col(text)))
     s = df.where(~T.is_missing(F.col(text))).select(fenced(F.split(body, T.SENTENCE_END)).alias("__s"))
     s = s.select("__s", F.size("__s").alias("__n"))  # before the explode, which would copy the array to each row
     s = s.select(F.posexplode("__s").alias("__i", "__sentence"), "__n").where(F.btrim("__sentence") != "")
-    s = s.select(_core(F.col("__sentence")).alias("__c"), ((F.col("__i") < F.col("__n") - 1) | _closed(F.col("__sentence"))).alias("__closed"))
-    keys = F.array(_start_key(F.col("__c")), F.when(F.col("__closed"), _end_key(F.col("__c"))))
+    s = s.select(_core(F.col("__sentence")).alias("__c"), _closed(F.col("__sentence")).alias("__closed"), (F.col("__i") < F.col("__n") - 1).alias("__inner"))
+    keys = F.array(_start_key(F.col("__c")), F.when(F.col("__inner") | F.col("__closed"), _end_key(F.col("__c"), ~F.col("__closed"))))
     return s.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"))
 
 
