@@ -28,7 +28,22 @@ CLOSED = [
 ]
 CLOSED_PATTERN = rf"(?i)\b(?:{'|'.join(CLOSED)})\b"
 # Lower-case signs of a page that asks for verification.
-VERIFY_SIGNS = ["captcha", "verify you are human", "are you a robot", "checking your browser", "access denied", "unusual traffic", "enable javascript"]
+VERIFY_SIGNS = ["just a moment", "enable javascript and cookies", "checking your browser", "please wait", "cloudflare", "ddos protection", "ray id"]
+# Phrases of a page whose posting is no longer active.
+INACTIVE = [
+    r"(?:this\s+)?(?:job|position|vacancy|role|listing|posting)\s+(?:is\s+)?(?:no longer|not)\s+(?:available|accepting|open|active)",
+    r"applications?\s+(?:are\s+)?(?:now\s+)?(?:closed|no longer being accepted)", r"no longer (?:accepting|taking)\s+applications?",
+    r"(?:position|vacancy|role)\s+(?:has been\s+)?(?:filled|closed|removed)", r"this\s+(?:role|position|job)\s+has\s+(?:been\s+)?(?:filled|closed|expired)",
+    r"sorry[^.]*no longer available", r"recruitment\s+(?:for\s+this\s+(?:role|position)\s+)?(?:has\s+)?(?:closed|ended|finished)", r"expired on indeed",
+    r"this exact role may not be open", r"posting is to advertise potential job opportunities",
+]
+INACTIVE_PATTERN = rf"(?i)\b(?:{'|'.join(INACTIVE)})\b"
+# Parts of model ids and of model names that are no chat models.
+NOT_CHAT_IDS = [
+    r"\bgemma-", "lyria-", "robotics", "nano-banana", r"-tts\b", r"-image\b", "-latest$", "-computer-use", "-base", "-pretrain", r"-codex\b", "safeguard", "-moderat", "whisper",
+    "-embed", "-search", "deep-research",
+]
+NOT_CHAT_NAMES = ["image", "text-to-image", "embedding", "moderation", "audio", "music", "banana", "robotics", "TTS", "computer use"]
 
 
 def suits_level(title: Column, level: str) -> Column:
@@ -82,6 +97,16 @@ def expired(expires: Column, fetched: Column, now: Column, days: int = 14) -> Co
 
 
 def noisy_title(title: Column, count: Column, words: int = 8) -> Column:
-    """Lists of several roles, long phrases and titles seen once."""
-    listed = F.rlike(title, F.lit(r"^[^,&]+,[^,&]+(?:&| and )[^,&]+$"))
+    """Lists of several roles ("X, Y & Z", "X, Y and Z"), titles of more than ``words`` words and titles seen once."""
+    listed = F.rlike(title, F.lit(r"(?i)^.+,\s*.+\s+(?:&|and)\s+.+"))
     return listed | (F.size(F.split(F.btrim(title), r"\s+")) > words) | (count <= 1)
+
+
+def inactive_page(text: Column) -> Column:
+    return F.rlike(F.coalesce(text, F.lit("")), F.lit(INACTIVE_PATTERN))
+
+
+def chat_model(model_id: Column, name: Column) -> Column:
+    """Neither the id nor the name tells of another kind of model; a NULL name is not asked."""
+    bad_name = F.coalesce(F.rlike(name, F.lit(f"(?i){'|'.join(NOT_CHAT_NAMES)}")), F.lit(False))
+    return ~F.coalesce(F.rlike(model_id, F.lit(f"(?i){'|'.join(NOT_CHAT_IDS)}")), F.lit(False)) & ~bad_name

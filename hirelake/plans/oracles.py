@@ -91,7 +91,7 @@ ORACLES: dict[str, str] = {
     "fn36_card_lines": "SELECT ord, 'id=' || ord || ' | title=' || coalesce(title, '') || ' | company=' || coalesce(company, '') AS value FROM job_cache",
     "pred_11_expired_sessions": f"SELECT session_key FROM search_sessions WHERE {_NOW_US} - epoch_us(created_at) > 24 * 3600000000",
     "pred_14_threshold": f"WITH {_POST} SELECT ord FROM p WHERE {_SCORE} >= 6",
-    "pred_18_models": "SELECT id FROM search_stats WHERE coalesce(model, '') <> '' AND NOT regexp_matches(model, 'embed|mini|vision', 'i')",
+    "pred_18_models": "SELECT id FROM search_stats WHERE coalesce(model, '') <> '' AND NOT regexp_matches(model, '" + "|".join(P.NOT_CHAT_IDS) + "', 'i')",
     "jn02_own_or_collected": f"WITH {_POST}, k AS (SELECT *, {_KEY} AS key FROM p), g AS (SELECT key, source, min(ord) AS o FROM k WHERE source <> 'talentquay.example' GROUP BY 1, 2), a AS (SELECT key, string_agg(source, '|' ORDER BY o) AS s FROM g GROUP BY 1) SELECT ord, coalesce(a.s, source) AS sources FROM k LEFT JOIN a USING (key)",
     "jn08_passing_ids": f"WITH {_POST} SELECT ord FROM p WHERE {_MATCHED} > 0 AND {_GAP} <= 5",
     "a08_tokens_of_named": "SELECT sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM search_stats WHERE coalesce(provider, '') <> ''",
@@ -136,6 +136,7 @@ ORACLES: dict[str, str] = {
     "pred_02_relevant": _kept(_RELEVANT),
     "pred_03_more_years": _kept(_MORE_YEARS(10)),
     "pred_04_closed": _kept(_CLOSED),
+    "pred_05_inactive": _kept("regexp_matches(coalesce(description, ''), '" + P.INACTIVE_PATTERN.removeprefix("(?i)") + "', 'i')"),
     "pred_06_verification": _kept("length(coalesce(description, '')) < 200 OR " + " + ".join(f"contains(lower(substring(coalesce(description, ''), 1, 1000)), '{s}')::INT" for s in P.VERIFY_SIGNS) + " >= 2"),
     "pred_07_skill": _kept(_SKILL),
     "pred_08_description": _kept("trim(coalesce(description, '')) <> ''"),
@@ -145,7 +146,7 @@ ORACLES: dict[str, str] = {
     "pred_13_fresh_titles": f"SELECT group_id FROM title_groups WHERE trunc(({_NOW_US} - epoch_us(cached_at)) / {_DAY}.0) <= 7",
     "pred_15_shown": "SELECT ord FROM job_cache WHERE coalesce(assessment.is_relevant, true)",
     "pred_16_unassessed": "SELECT ord FROM job_cache WHERE assessment IS NULL",
-    "pred_17_clean_titles": r"SELECT group_id FROM title_groups WHERE NOT (regexp_matches(canonical, '^[^,&]+,[^,&]+(?:&| and )[^,&]+$') OR len(regexp_split_to_array(trim(canonical), '\s+')) > 8 OR cnt <= 1)",
+    "pred_17_clean_titles": r"SELECT group_id FROM title_groups WHERE NOT (regexp_matches(canonical, '^.+,\s*.+\s+(?:&|and)\s+.+', 'i') OR len(regexp_split_to_array(trim(canonical), '\s+')) > 8 OR cnt <= 1)",
     "pred_20_possibly_closed": _kept(f"coalesce(description, '') <> '' AND {_CLOSED}"),
     "jn01_cached_postings": f"WITH {_REASONS} SELECT ord FROM r WHERE reason = 'cache_hit'",
     "jn03_jobs_by_keys": f"SELECT ord FROM job_cache WHERE dedup_key IN {_SESSION_KEYS}",

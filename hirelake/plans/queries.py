@@ -226,7 +226,7 @@ QUERIES: dict[str, Query] = {
     "fn36_card_lines": _value(lambda _: F.concat(F.lit("id="), F.col("ord").cast("string"), F.lit(" | title="), F.coalesce("title", F.lit("")), F.lit(" | company="), F.coalesce("company", F.lit("")))),
     "pred_11_expired_sessions": lambda s, d: table(s, d, "search_sessions").where(F.unix_micros(now()) - F.unix_micros("created_at") > 24 * 3_600_000_000).select("session_key"),
     "pred_14_threshold": lambda s, d: S.scored(postings(s, d), "description", SKILLS, 5).where(F.col("score") / 10 >= 0.6).select("ord"),
-    "pred_18_models": lambda s, d: table(s, d, "search_stats").where(F.coalesce("model", F.lit("")) != "").where(~F.rlike("model", F.lit(r"(?i)embed|mini|vision"))).select("id"),
+    "pred_18_models": lambda s, d: table(s, d, "search_stats").where(F.coalesce("model", F.lit("")) != "").where(P.chat_model(_c("model"), F.lit(None).cast("string"))).select("id"),
     "jn02_own_or_collected": _own_or_collected_sources,
     "jn08_passing_ids": lambda s, d: K.with_keys(postings(s, d).select("ord", "title"), S.scored(postings(s, d), "description", SKILLS, 5).where("relevant"), "ord").select("ord"),
     "a08_tokens_of_named": lambda s, d: table(s, d, "search_stats").where("coalesce(provider, '') <> ''").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")),
@@ -272,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "pred_02_relevant": _kept(lambda: P.relevant(_c("title"), ROLE_WORDS)),
     "pred_03_more_years": _kept(lambda: P.asks_more_years(_c("description"), 10)),
     "pred_04_closed": _kept(lambda: P.closed(_c("description"))),
+    "pred_05_inactive": _kept(lambda: P.inactive_page(_c("description"))),
     "pred_06_verification": _kept(lambda: P.is_verification_page(_c("description"))),
     "pred_07_skill": _kept(lambda: P.has_skill(_c("description"), SKILLS)),
     "pred_08_description": _kept(lambda: F.btrim(F.coalesce("description", F.lit(""))) != ""),
