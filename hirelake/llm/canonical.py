@@ -248,7 +248,9 @@ def map_distinct(values: DataFrame, column: str, make: Callable[[list], Callable
         for pdf in batches:
             yield pdf.assign(ref_id=[match(v) for v in pdf["value"]])
 
-    return distinct.mapInPandas(run, "value string, ref_id bigint")
+    # few bytes but much work for each value: as many tasks as cores, where sizes alone would give one
+    spread = distinct.repartition(max(2, values.sparkSession.sparkContext.defaultParallelism), "value")
+    return spread.mapInPandas(run, "value string, ref_id bigint")
 
 
 def with_reference(rows: DataFrame, column: str, exact: DataFrame, make, entries: list) -> DataFrame:
