@@ -16,12 +16,15 @@ def mark_duplicates(df: DataFrame, url: str = "url", title: str = "title", key:
     """``df`` with ``dup``: no or seen url, empty title, or seen key among rows that passed before.
 
     A url counts as seen even where its title is empty; a row rejected later still blocks its key.
+    ``order`` must be unique.
     """
     has_url = F.coalesce(F.col(url), F.lit("")) != ""
-    seen = F.row_number().over(Window.partitionBy(url).orderBy(order)) > 1
-    df = df.withColumn("__ok", has_url & ~seen & (F.btrim(F.coalesce(F.col(title), F.lit(""))) != ""))
-    again = F.row_number().over(Window.partitionBy("__ok", key).orderBy(order)) > 1
-    return df.withColumn("dup", ~F.col("__ok") | again).drop("__ok")
+    titled = F.btrim(F.coalesce(F.col(title), F.lit(""))) != ""
+    # least positions by aggregation, joined back on the position: no group of rows goes to one task
+    first_url = df.where(has_url).groupBy(url).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("__first"))
+    df = df.join(first_url, order, "left").withColumn("__ok", F.coalesce(F.col("__first"), F.lit(False)) & titled).drop("__first")
+    first_key = df.where("__ok").groupBy(key).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("__first"))
+    return df.join(first_key, order, "left").withColumn("dup", F.col("__first").isNull()).drop("__ok", "__first")
 
 
 def union_first(parts: list[DataFrame], key: str, order: str = "ord") -> DataFrame:
