@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.plan import fenced
-from hirelake.sources.tables import broadcast_small, table
+from hirelake.sources.tables import broadcast_small, spread, table
 
 SLOT = "\u0001"
 
@@ -197,7 +197,7 @@ def with_utc(df: DataFrame, value: str, zone: str, locale: str, anchor: str, out
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """(field, ord, utc_us) of every date_posted and expires_at that names a day or instant."""
     boards = table(spark, sf_dir, "board_list").select("board", "locale", "time_zone")
-    rows = table(spark, sf_dir, "job_cache").select("ord", F.element_at("sources", 1).alias("board"), "fetched_at", "date_posted", "expires_at")
+    rows = spread(table(spark, sf_dir, "job_cache").select("ord", F.element_at("sources", 1).alias("board"), "fetched_at", "date_posted", "expires_at"))
     rows = rows.join(broadcast_small(boards), "board", "left")
     long = rows.select("ord", "locale", "time_zone", "fetched_at", F.stack(F.lit(2), F.lit("date_posted"), "date_posted", F.lit("expires_at"), "expires_at").alias("field", "value"))
     return with_utc(long.where(F.col("value").isNotNull()), "value", "time_zone", "locale", "fetched_at").where(F.col("utc_us").isNotNull()).select("field", "ord", "utc_us")

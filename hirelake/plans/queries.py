@@ -14,7 +14,7 @@ from hirelake.operators import dedup as D
 from hirelake.operators import scoring as S
 from hirelake.operators import store as K
 from hirelake.plans import funnel
-from hirelake.sources.tables import table
+from hirelake.sources.tables import spread, table
 
 NOW = "2025-07-01 00:00:00"
 SKILLS = ["python", "kotlin", "spreadsheets", "static analysis", "forklift", "exam", "rust"]
@@ -29,7 +29,7 @@ def now() -> Column:
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "job_cache")
-    return j.select("ord", "url", "title", "company", "location", F.col("description_snippet").alias("description"), F.element_at("sources", 1).alias("source"), "date_posted")
+    return spread(j.select("ord", "url", "title", "company", "location", F.col("description_snippet").alias("description"), F.element_at("sources", 1).alias("source"), "date_posted"))
 
 
 def cache(spark: SparkSession, d: str) -> DataFrame:

@@ -18,3 +18,12 @@ def broadcast_small(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= max_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as cores, for much work on few or unsplittable files.
+
+    A scan that already has enough partitions, as any large table has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
