@@ -123,7 +123,7 @@ def _round(docs: DataFrame, model, sc) -> list:
     cols = [f"s{k}" for k in range(width)]
     partial = docs.select("lang", "idx", "cnt", "labels").mapInPandas(run, "lang int, term int, " + ", ".join(f"{c} double" for c in cols))
     total = partial.groupBy("lang", "term").agg(*(F.sum(c).cast("float").alias(c) for c in cols)).toPandas()
-    shared.unpersist()
+    shared.destroy()
     out = []
     for lang, h in enumerate(model.H):
         mine = total[total["lang"] == lang]
@@ -156,7 +156,8 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: list[str], ke
     if not n_docs:
         return empty
     least = max(LEAST_DOCS, LEAST_SHARE * n_docs)
-    vocab = np.array(sorted(r[0] for r in feats.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("t").collect()), np.int64)
+    kept = cut(feats.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("t"))
+    vocab = np.sort(kept.toPandas()["t"].to_numpy().astype(np.int64))  # at most DIMENSION numbers
     by_lang = feats.where(F.col("label_lang").isNotNull() & ~F.col("label_lang").isin("", "un")).groupBy("label_lang").count().orderBy(F.desc("count"), "label_lang").limit(MAX_LANGUAGES).collect()
     languages = [r[0] for r in by_lang if r[1] >= max(8, 0.003 * n_docs)] or [r[0] for r in by_lang[:1]] or ["und"]
     place = np.full(DIMENSION, -1, np.int32)
@@ -164,11 +165,13 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: list[str], ke
     V = len(vocab)
     if not V:
         return empty
-    counts = feats.where(F.col("label_lang").isin(languages)).select("label_lang", F.explode("terms").alias("t")).groupBy("label_lang", "t").agg(F.count("*").alias("n")).toPandas()
+    # numbers only, and only of kept terms: at most languages x terms rows come to the driver
+    number_of = F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("label_lang")).cast("int") - 1
+    said = feats.where(F.col("label_lang").isin(languages)).select(number_of.alias("l"), F.explode("terms").alias("t"))
+    counts = said.join(F.broadcast(kept), "t").groupBy("l", "t").agg(F.count("*").alias("n")).toPandas()
     P = np.full((len(languages), V), 0.1)
-    counts = counts[place[counts["t"].to_numpy()] >= 0] if len(counts) else counts
-    if len(counts):
-        np.add.at(P, (counts["label_lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(), place[counts["t"].to_numpy()]), counts["n"].to_numpy())
+    np.add.at(P, (counts["l"].to_numpy(), place[counts["t"].to_numpy()]), counts["n"].to_numpy())
+    del counts
     tables = sc.broadcast((place, np.log(P / P.sum(1)[:, None]).astype(np.float32)))
 
     def index(batches: Iterator) -> Iterator:
@@ -194,16 +197,20 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: list[str], ke
     seeds = indexed.where(F.col("labels").isNotNull()).orderBy(F.xxhash64("key")).limit(MAX_LABELLED).toPandas()
     if not len(seeds):
         return empty
-    kinds_of = indexed.groupBy("lang", "kind").count().where(F.col("count") >= 20).orderBy("lang", F.desc("count"), "kind").collect()
+    kinds_all = indexed.groupBy("lang", "kind").count().orderBy(F.desc("count"), "lang", "kind").limit(64 * MAX_KINDS).collect()
+    kinds_of = [r for r in kinds_all if r["count"] >= 20]
     kinds = [[r.kind for r in kinds_of if r.lang == i][:MAX_KINDS] or [""] for i in range(len(languages))]
-    means = indexed.select("lang", "kind", F.explode(F.arrays_zip("idx", "cnt")).alias("x")).groupBy("lang", "kind", "x.idx").agg(F.sum("x.cnt").alias("n")).toPandas()
+    slot = {(i, kd): j for i, ks in enumerate(kinds) for j, kd in enumerate(ks)}
+    any_kind = [ks == [""] for ks in kinds]
+    pairs = [(i, r.kind, 0 if any_kind[i] else slot[i, r.kind]) for i in range(len(languages)) for r in kinds_all if r.lang == i and (any_kind[i] or (i, r.kind) in slot)]
+    slots = F.broadcast(spark.createDataFrame(pairs, "lang int, kind string, slot int"))  # at most languages x kinds rows
+    means = indexed.join(slots, ["lang", "kind"]).select("lang", "slot", F.explode(F.arrays_zip("idx", "cnt")).alias("x")).groupBy("lang", "slot", "x.idx").agg(F.sum("x.cnt").cast("float").alias("n")).toPandas()
     H = []
     K = len(subjects)
     for i in range(len(languages)):
         back = np.full((len(kinds[i]), V), 1e-4)
-        for j, kd in enumerate(kinds[i]):
-            m = means[(means["lang"] == i) & ((means["kind"] == kd) | (kinds[i] == [""]))]
-            np.add.at(back[j], m["idx"].to_numpy(), m["n"].to_numpy())
+        m = means[means["lang"] == i]
+        np.add.at(back, (m["slot"].to_numpy(), m["idx"].to_numpy()), m["n"].to_numpy())
         back /= back.sum(1)[:, None]
         mean = back.mean(0)
         excess = np.zeros((K, V))
@@ -217,6 +224,7 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: list[str], ke
         back[:, (excess > 1e-6).any(0)] *= KIND_DAMPING
         h = np.vstack([excess + 1e-7, back])
         H.append((h / h.sum(1)[:, None]).astype(np.float32))
+    del means, seeds
     seeded = [h[:K].copy() for h in H]
     model = _Model(subjects, languages, kinds, H)
     for _ in range(ROUNDS):
