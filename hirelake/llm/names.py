@@ -148,8 +148,8 @@ def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS) ->
     """(id_a, id_b) of probe strings and index strings within ``k`` edits; both have (id, s, trade).
 
     Every string of at least ``k`` + 1 letters is compared with all others; no bucket is capped. Trades
-    must agree where both have one. A swap of neighbours may count as one edit: pairs at distance 2 need
-    a swap or the same first and last letters.
+    must agree where both have one. A swap of neighbours counts as one edit; pairs at distance 2 without
+    one need the same trade and the same first and last letters.
     """
     parts = k + 1
     ix = strings.select("id", "s", "trade", F.length("s").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
@@ -168,7 +168,7 @@ def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS) ->
     ends = (F.substring("s_a", 1, 1) == F.substring("s_b", 1, 1)) & (F.right("s_a", F.lit(1)) == F.right("s_b", F.lit(1)))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     swap = (F.length("s_a") == F.length("s_b")) & (letters("s_a") == letters("s_b"))
-    return pairs.select("id_a", "id_b", "s_a", "s_b").distinct().where(d.between(0, 1) | (d == 2) & (swap | ends)).select("id_a", "id_b").distinct()
+    return pairs.select("id_a", "id_b", "s_a", "s_b", ((F.col("trade_a") == F.col("trade_b")) & (F.col("trade_a") != "")).alias("__trade")).distinct().where(d.between(0, 1) | (d == 2) & (swap | ends & F.col("__trade"))).select("id_a", "id_b").distinct()
 
 
 def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:

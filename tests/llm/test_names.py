@@ -40,12 +40,15 @@ def lev(a, b):
 def test_segments_against_brute_force(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(7, 10))) for _ in range(70)})
-    s = spark.createDataFrame([(i, w, "") for i, w in enumerate(words)], "id long, s string, trade string")
+    trade = ["", "foods", "glass"]
+    s = spark.createDataFrame([(i, w, trade[i % 3]) for i, w in enumerate(words)], "id long, s string, trade string")
     got = {(r.id_a, r.id_b) for r in N.segment_pairs(s, s).collect()}
     want = set()
     for (i, a), (j, b) in combinations(enumerate(words), 2):
-        d = lev(a, b)
-        if d <= 1 or d == 2 and (len(a) == len(b) and sorted(a) == sorted(b) or (a[0], a[-1]) == (b[0], b[-1])):
+        d, ta, tb = lev(a, b), trade[i % 3], trade[j % 3]
+        if ta and tb and ta != tb:
+            continue
+        if d <= 1 or d == 2 and (len(a) == len(b) and sorted(a) == sorted(b) or ta == tb != "" and (a[0], a[-1]) == (b[0], b[-1])):
             want |= {(i, j), (j, i)}
     assert got == want
 
