@@ -14,7 +14,7 @@ from hirelake.operators import dedup as D
 from hirelake.operators import scoring as S
 from hirelake.operators import store as K
 from hirelake.plans import funnel
-from hirelake.sources.tables import spread, table
+from hirelake.sources.tables import broadcast_small, spread, table
 
 NOW = "2025-07-01 00:00:00"
 SKILLS = ["python", "kotlin", "spreadsheets", "static analysis", "forklift", "exam", "rust"]
@@ -33,10 +33,11 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache(spark: SparkSession, d: str) -> DataFrame:
-    """The store as the funnel asks it: only expiries in one plain form count here; see the timestamp operator for all."""
-    j = table(spark, d, "job_cache")
-    plain = F.rlike("expires_at", F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"))
-    return j.select("ord", "url", "fetched_at", F.when(plain, F.try_to_timestamp("expires_at")).alias("expires_ts"), F.col("assessment").isNotNull().alias("assessed"))
+    """The store as the funnel asks it: every expiry that names a day or instant, in zone and locale of the row's board."""
+    boards = table(spark, d, "board_list").select("board", "locale", "time_zone")
+    j = spread(table(spark, d, "job_cache").select("ord", "url", "fetched_at", "expires_at", F.col("assessment").isNotNull().alias("assessed"), F.element_at("sources", 1).alias("board")))
+    j = with_utc(j.join(broadcast_small(boards), "board", "left"), "expires_at", "time_zone", "locale", "fetched_at", "expires_us")
+    return j.select("ord", "url", "fetched_at", F.timestamp_micros("expires_us").alias("expires_ts"), "assessed")
 
 
 def _value(make: Callable[[DataFrame], Column], name: str = "value") -> Query:
