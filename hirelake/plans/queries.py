@@ -53,7 +53,7 @@ def _kept(condition: Callable[[], Column]) -> Query:
 
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.with_reason(postings(spark, d), WHO, cache(spark, d).where("ord % 3 = 0"), now())
+    return funnel.with_reason(postings(spark, d), WHO, cache(spark, d), now())
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ def _merged_source(spark: SparkSession, d: str) -> DataFrame:
 def _assessments(spark: SparkSession, d: str) -> DataFrame:
     """Scores written to the unassessed rows of a key; assessed rows keep theirs."""
     j = table(spark, d, "job_cache").select("ord", "dedup_key", "assessment")
-    fresh = j.where("assessment is null and ord % 5 = 0").groupBy("dedup_key").agg((F.min("ord") % 11).alias("fresh"))
+    fresh = j.where("assessment is null").groupBy("dedup_key").agg((F.min("ord") % 11).alias("fresh"))
     return j.join(fresh, "dedup_key", "left").select("ord", F.coalesce(F.col("assessment.score").cast("bigint"), "fresh").alias("score"))
 
 

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 
 from hirelake import catalog
+from hirelake.plans import oracles
+from oracle import connect, differences
 
 UTC = dt.timezone.utc
 RECENT, OLD = dt.datetime(2025, 6, 29, tzinfo=UTC), dt.datetime(2025, 3, 1, tzinfo=UTC)
@@ -69,3 +71,26 @@ def test_expiry_in_every_form(store):
     total = [r for r in run("a03_funnel_by_source") if r.source == "*"][0]
     assert (total.n_in, total.cache_hit) == (len(rows), len(live))
     assert run("snk14_vacuum")[0].jobs == len(gone)
+
+
+def test_whole_store_and_whole_batch(store):
+    rows = [row(i, assessment=(5, True, []) if i % 2 else None, dedup_key=f"k{i // 2}") for i in range(12)]
+    run = store(rows)
+    assert {r.ord for r in run("jn01_cached_postings")} == {1, 3, 5, 7, 9, 11}
+    assert {r.reason: r.n for r in run("a02_funnel_totals")} == {"cache_hit": 6, "pending": 6}
+    assert {r.ord: r.score for r in run("snk09_write_assessments")} == {i: 5 if i % 2 else i % 11 for i in range(12)}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["pred_10_expired", "l01_recent_live", "snk14_vacuum", "jn01_cached_postings", "a02_funnel_totals", "a03_funnel_by_source", "snk09_write_assessments"])
+def test_against_sql_without_its_cuts(spark, name):
+    """The SQL with instants of expires_at looked up, and without its filters by remainder."""
+    con = connect(SF)
+    found = catalog.queries()["p5_found"](spark, SF).where("field = 'expires_at'").select("ord", "utc_us").toPandas()
+    con.register("instants", found)
+    sql = oracles.ORACLES[name].replace(oracles._PLAIN, "(SELECT make_timestamptz(utc_us) FROM instants i WHERE i.ord = job_cache.ord)")
+    sql = sql.replace("WHERE ord % 3 = 0 AND", "WHERE").replace(" AND ord % 5 = 0", "")
+    mine, theirs, extra, missing = differences(catalog.queries()[name](spark, SF), con, sql)
+    assert (extra, missing) == ([], []) and mine == theirs
