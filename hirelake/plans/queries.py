@@ -168,10 +168,11 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lenient_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Plain dates read month first, as UTC."""
-    p = postings(spark, d).where(F.rlike("date_posted", F.lit(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$")))
-    p = p.withColumns({"zone": F.lit("UTC"), "locale": F.lit("en-US"), "anchor": now()})
-    return with_utc(p, "date_posted", "zone", "locale", "anchor").select("ord", "utc_us")
+    """Every date_posted as UTC, month first unless the first number can only be a day; NULL where none is named."""
+    p = spread(table(spark, d, "job_cache").select("ord", "date_posted", "fetched_at"))
+    day_first = F.rlike("date_posted", F.lit(r"^\s*(?:1[3-9]|2\d|3[01])[/-]\d{1,2}[/-]"))
+    p = p.withColumns({"zone": F.lit("UTC"), "locale": F.when(day_first, "en-IE").otherwise("en-US")})
+    return with_utc(p, "date_posted", "zone", "locale", "fetched_at").select("ord", "utc_us")
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:

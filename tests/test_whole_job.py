@@ -19,7 +19,7 @@ BOARDS = [("ie.example", "en-IE", "Europe/Dublin"), ("us.example", "en-US", "Ame
 def row(ord, **more):
     base = dict.fromkeys(part.split()[0] for part in SCHEMA.replace("\n", " ").split(", ") if ":" not in part) | {
         "dedup_key": f"k{ord}", "title": f"Data Nurse {ord}", "company": f"Firm {ord}", "description_snippet": "python", "url": f"https://x.example/{ord}",
-        "sources": ["ie.example"], "raw_sources": [], "fetched_at": RECENT, "is_complete": True,
+        "sources": ["ie.example"], "raw_sources": [], "fetched_at": RECENT, "is_complete": True, "assessment": None,
     }
     return base | {"ord": ord} | more
 
@@ -94,3 +94,27 @@ def test_against_sql_without_its_cuts(spark, name):
     sql = sql.replace("WHERE ord % 3 = 0 AND", "WHERE").replace(" AND ord % 5 = 0", "")
     mine, theirs, extra, missing = differences(catalog.queries()[name](spark, SF), con, sql)
     assert (extra, missing) == ([], []) and mine == theirs
+
+
+DATES = [
+    # date_posted, instant in UTC: month first, zone UTC where none is written, relative to fetched_at
+    ("2025-06-03", "2025-06-03T00:00:00"),
+    ("03/04/2025", "2025-03-04T00:00:00"),
+    ("13/04/2025", "2025-04-13T00:00:00"),
+    ("31/04/2025", None),
+    ("3. März 2025, 13:59 Uhr", "2025-03-03T13:59:00"),
+    ("2025-01-02T03:04:05-0500", "2025-01-02T08:04:05"),
+    ("April 1, 2025 at 12:00 pm", "2025-04-01T12:00:00"),
+    ("1736438364", "2025-01-09T15:59:24"),
+    ("2 days ago", "2025-06-27T00:00:00"),
+    ("2025-02-30", None),
+    ("soon", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_lenient_dates_of_every_row(store):
+    run = store([row(i, date_posted=v) for i, (v, _) in enumerate(DATES)])
+    us = lambda t: t and int((dt.datetime.fromisoformat(t) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    assert {r.ord: r.utc_us for r in run("fn16_lenient_dates")} == {i: us(t) for i, (_, t) in enumerate(DATES)}
