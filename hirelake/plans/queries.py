@@ -183,7 +183,7 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 def _own_or_collected_sources(spark: SparkSession, d: str) -> DataFrame:
     """Each posting with the sources collected for its key; its own source where none are."""
     p = postings(spark, d).withColumn("key", T.posting_key(_c("company"), _c("title")))
-    collected = D.sources_of_keys(p.where("source <> 'talentquay.example'")).select("key", F.array_join(F.transform("entries", lambda x: x["source"]), "|").alias("all"))
+    collected = D.sources_of_keys(p.where("source is not null")).select("key", F.array_join(F.transform("entries", lambda x: x["source"]), "|").alias("all"))
     return p.join(collected, "key", "left").select("ord", F.coalesce("all", "source").alias("sources"))
 
 

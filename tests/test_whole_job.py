@@ -118,3 +118,12 @@ def test_lenient_dates_of_every_row(store):
     run = store([row(i, date_posted=v) for i, (v, _) in enumerate(DATES)])
     us = lambda t: t and int((dt.datetime.fromisoformat(t) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
     assert {r.ord: r.utc_us for r in run("fn16_lenient_dates")} == {i: us(t) for i, (_, t) in enumerate(DATES)}
+
+
+def test_sources_of_all_boards(store):
+    key = {"company": "Firm", "title": "Data Nurse"}
+    boards = ["b.example", "talentquay.example", "a.example", "talentquay.example", None]
+    rows = [row(i, sources=[b] if b else None, **key) for i, b in enumerate(boards)]
+    run = store([*rows, row(10, sources=["talentquay.example"]), row(11, sources=None)])
+    want = dict.fromkeys(range(5), "b.example|talentquay.example|a.example") | {10: "talentquay.example", 11: None}
+    assert {r.ord: r.sources for r in run("jn02_own_or_collected")} == want
