@@ -1,11 +1,11 @@
-"""Near-duplicate texts by a join of parity sketches.
-
-A text is the set of its word shingles. Shingles are dealt into g groups by their hash, and each group
-is reduced to the XOR of its hashes: the parity sketch of the group. Two sets that differ in D shingles
-disagree in at most D groups, so by the pigeonhole principle sets with D < g share a whole group, and
-with larger D they still share about g * exp(-D / g) groups. g depends on the size band of the set; a text
-is joined within its band and, if its partners can be so large, in the next. Candidates are pruned by a bit sketch (each shingle flips one bit) whose Hamming
-distance is a lower bound of D, and the rest are verified exactly on the shingles.
+"""Near-duplicate texts by an exact prefix-filter join with bit sketches.
+
+A text is the set of its word shingles, in one order for all texts: seldom ones first. Two sets of
+n and m shingles with a similarity of at least t share c >= t * max(n, m) of them, so the first n - c + 1 of the one
+and m - c + 1 of the other have a shingle in common: texts are joined on these prefixes, and no pair can be missed.
+The order comes from counts of a sample and decides only how many candidates there are; any order gives the same
+pairs. Candidates are pruned by a bit sketch (each shingle flips one bit) whose Hamming distance is a lower bound of
+the number of differing shingles, and the rest are verified exactly on the shingles.
 """
 
 from __future__ import annotations
@@ -24,26 +24,15 @@ SHINGLE = 3
 SIMILARITY = 0.5
 LEAST_WORDS = 25
 BIT_WORDS = 8  # 512 bits
-#: Groups of equal sketches up to this size give their pairs in place; larger ones through a join.
+#: Groups of texts with one key up to this size give their pairs in place; larger ones through a join.
 IN_PLACE = 32
 #: Ids of candidates, of 16 bytes, are broadcast up to this count, which is taken first; beyond it they are shuffled.
 MAX_BROADCAST_IDS = 500_000
 
 
-#: Lower ends of the size bands, in shingles; each is about 2.8 times the one before.
-BANDS = (0, 64, 181, 512, 1448, 4096, 11585, 32768, 92682, 262144)
-#: Independent deals of the shingles into groups within a text's own band.
-DEALS = 2
-
-
-def groups_of_band(band: int) -> tuple[int, int]:
-    """(groups, least shingles of a group that counts) for sets of a size band.
-
-    Four to six shingles fall into a group. A group of fewer than four says little, as stock phrases
-    fill it; with more groups than this, most pairs that meet would share only such phrases. Small sets have more,
-    and smaller, groups for their size, since few groups of theirs stay equal.
-    """
-    return (12, 2) if band == 0 else (BANDS[band] * 13 // 32, 4) if band == 1 else (BANDS[band] // 4, 4)
+#: Slots of the counts that order the shingles, and about how many texts are counted.
+SLOT_BITS = 19
+COUNTED_TEXTS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -73,68 +62,82 @@ def _shingles(words, sizes, k: int):
     return doc[first], h[first]
 
 
-def _sketch(batches: Iterator, k: int, similarity: float) -> Iterator:
-    """(ord, id, n, bits, keys) of (ord, id, words): bit sketch and one key for each telling group, in whole batches."""
+def _batch_shingles(batch, k: int):
+    import numpy as np
+
+    lists = batch.column("words")
+    return _shingles(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64), k)
+
+
+def _slots(h):
+    import numpy as np
+
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _count(batches: Iterator, k: int) -> Iterator:
+    """(slot, n): in how many texts of a task shingles of a slot stand."""
+    import numpy as np
+    import pyarrow as pa
+
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slots(_batch_shingles(batch, k)[1]), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _sketch(batches: Iterator, k: int, similarity: float, counts) -> Iterator:
+    """(ord, id, n, bits, keys) of (ord, id, words): bit sketch and the prefix in the order of ``counts``, in whole batches."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        ids, lists = batch.column("id"), batch.column("words")
-        doc, h = _shingles(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64), k)
+        ids = batch.column("id")
+        doc, h = _batch_shingles(batch, k)
         n = np.bincount(doc, minlength=len(ids))
         bits = np.zeros((len(ids), BIT_WORDS), np.uint64)
         np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(3) & np.uint64(63)))
-        ends = np.array(BANDS)
-        band = np.searchsorted(ends, n, side="right") - 1
-        top = np.minimum(band + 1, len(BANDS) - 1)
-        keys_doc, keys = [], []
-        # within the own band by every deal; for larger partners, of at most 1 / similarity the size, by the first
-        for b, deal in [(b, deal) for b in range(len(BANDS)) for deal in range(DEALS)]:
-            wanted = (band == b) | (deal == 0) & (band + 1 == b) & (n >= similarity * ends[top])
-            if not wanted.any():
-                continue
-            groups, least = groups_of_band(b)
-            mine = wanted[doc]
-            d, x = doc[mine], h[mine]
-            spread = ((x >> np.uint64(9)) + np.uint64(deal)) * np.uint64(0x9E3779B97F4A7C15)  # bits apart from those of the sketch
-            spread ^= spread >> np.uint64(31)
-            slot = d * groups + (((spread * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            slot, x = slot[order], x[order]
-            start = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            parity = np.bitwise_xor.reduceat(x, start)
-            keep = np.diff(np.r_[start, len(slot)]) >= least
-            s = slot[start][keep]
-            tag = ((s % groups).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b * DEALS + deal) * np.uint64(0x165667B19E3779F9)
-            keys_doc.append(s // groups)
-            keys.append(parity[keep] ^ tag)
-        kd = np.concatenate(keys_doc) if keys_doc else np.zeros(0, np.int64)
-        kv = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(kd, kind="stable")
-        counts = np.bincount(kd, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-        key_lists = pa.ListArray.from_arrays(offsets, pa.array(kv[order].view(np.int64)))
+        prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+        order = np.lexsort((h, counts[_slots(h)], doc))
+        keep = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < prefix[doc]  # doc is in order before and after
+        keys, per = h[order][keep], np.bincount(doc[keep], minlength=len(ids))
+        offsets = pa.array(np.r_[0, np.cumsum(per)].astype(np.int32))
+        key_lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))
         bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("ord"), ids, pa.array(n.astype(np.int32)), bit_lists, key_lists], names=["ord", "id", "n", "bits", "keys"])
 
 
 def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(ord, id, n, bits, keys) of each text with enough words; ``id`` hashes its words, so copies share it."""
-    w = df.select(F.col(order).cast("bigint").alias("ord"), fenced(words_of(F.col(text))).alias("__w")).where(F.size("__w") >= F.lit(max(least_words, k)))
-    w = w.select("ord", F.xxhash64(F.array_join("__w", " ")).alias("id"), F.transform("__w", lambda x: F.xxhash64(x)).alias("words"))
-    return cut(w.mapInArrow(lambda batches: _sketch(batches, k, similarity), "ord bigint, id bigint, n int, bits array<bigint>, keys array<bigint>"))
+    import numpy as np
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        w = rows.select(F.col(order).cast("bigint").alias("ord"), fenced(words_of(F.col(text))).alias("__w")).where(F.size("__w") >= F.lit(max(least_words, k)))
+        return w.select("ord", F.xxhash64(F.array_join("__w", " ")).alias("id"), F.transform("__w", lambda x: F.xxhash64(x)).alias("words"))
+
+    every = max(1, df.count() // COUNTED_TEXTS)
+    some = hashed(df.where(F.pmod(F.xxhash64(F.col(order)), F.lit(every)) == 0))  # for the order only; every text is joined
+    found = some.mapInArrow(lambda batches: _count(batches, k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(counts)
+    return cut(hashed(df).mapInArrow(lambda batches: _sketch(batches, k, similarity, shared.value), "ord bigint, id bigint, n int, bits array<bigint>, keys array<bigint>"))
 
 
 def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of different texts with at least ``similarity`` of their shingles in common."""
     # copies of a text meet in the set before the shuffle
-    buckets = sketches.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    buckets = cut(buckets)
-    small = buckets.where(F.size("ids") <= IN_PLACE).select(F.array_sort("ids").alias("ids"))
-    near = small.select("ids", F.posexplode("ids").alias("i", "id_a")).select("id_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id_b"))
-    large = buckets.where(F.size("ids") > IN_PLACE).select("key", F.explode("ids").alias("id_a"))
-    far = large.join(large.withColumnRenamed("id_a", "id_b"), "key").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
-    pairs = near.union(far).distinct()
+    entries = sketches.select("id", "n", F.posexplode("keys").alias("i", "key")).select("key", F.struct("id", "n", "i").alias("e"))
+    buckets = cut(entries.groupBy("key").agg(F.collect_set("e").alias("es")).where(F.size("es") > 1))
+    small = buckets.where(F.size("es") <= IN_PLACE).select(F.array_sort("es").alias("es"))
+    near = small.select("es", F.posexplode("es").alias("p", "a")).select("a", F.explode(F.slice("es", F.col("p") + 2, F.size("es"))).alias("b"))
+    large = buckets.where(F.size("es") > IN_PLACE).select("key", F.explode("es").alias("a"))
+    far = large.join(large.withColumnRenamed("a", "b"), "key").where(F.col("a.id") < F.col("b.id")).select("a", "b")
+    # at their first shingle in common, the rest of both lists must hold all they have to share
+    rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    enough = rest >= (F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-9
+    pairs = near.where(enough).union(far.where(enough)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     facts = sketches.select("id", "n", "bits").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     for side in ("a", "b"):
         pairs = pairs.join(facts.withColumnsRenamed({"id": f"id_{side}", "n": f"n_{side}", "bits": f"bits_{side}"}), f"id_{side}")

@@ -53,3 +53,17 @@ def test_large_bucket_goes_through_the_join(spark, monkeypatch):
     rows = [(i, " ".join([*base[:-1], f"tail{i}"])) for i in range(6)]
     df = spark.createDataFrame([(o, t, "", "") for o, t in rows], SCHEMA)
     assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text").collect()} == brute(rows)
+
+
+def test_no_pair_is_missed_near_the_bound(spark):
+    rng, rows = random.Random(3), []
+    for size in (30, 62, 66, 172, 242):
+        for _ in range(25):
+            base = [f"v{rng.randrange(5000)}" for _ in range(size)]
+            rows.append((len(rows), " ".join(base)))
+            for share in (0.1, 0.2, 0.3):
+                w, at = list(base), rng.randrange(size // 2)
+                w[at : at + int(share * size)] = [f"u{rng.randrange(5000)}" for _ in range(int(share * size))]
+                rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame([(o, t, "clash", "clash") for o, t in rows], SCHEMA)
+    assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text").collect()} == brute(rows)
