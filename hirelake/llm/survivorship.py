@@ -2,8 +2,8 @@
 
 Fields are unpivoted into long rows (group, field, value). Each row votes for its normalised value
 with the trust of its source times a decay of its age; votes are summed per value, the winner of each
-field is chosen by ``max_by``, and winners are pivoted back to one record. Where a field has its own
-order of merit, a merit rank goes before the votes.
+field is chosen by ``max_by``, and winners are pivoted back to one record. Fields with an
+order of merit of their own are settled by it alone, without votes.
 """
 
 from __future__ import annotations
@@ -83,7 +83,9 @@ def _long(spark, sf_dir: str, least_rows: int = 1) -> DataFrame:
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    """(dedup_key, field, ord): the row whose description and source list survive, for each key of two or more rows."""
+    """(dedup_key, field, ord): the row whose description and source list survive, for each key of two or more rows.
+
+    By the order of merit alone: it ends in the unique ``ord``, so no votes are computed here and nothing is pivoted."""
     best = winners(_long(spark, sf_dir, least_rows=2), ["merit", "size", "fetched_at", "ord"])
     return best.where((F.col("n_rows") > 1) & F.col("ord").isNotNull()).select(F.col("key").alias("dedup_key"), "field", "ord")
 
