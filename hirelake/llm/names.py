@@ -24,8 +24,9 @@ from hirelake.session import cut
 from hirelake.sources.tables import table
 
 MAX_EDITS = 2
-#: Cores shorter than this are compared exactly.
+#: Cores shorter than this are one edit apart at most, and need the same trade; below the second, they are compared exactly.
 LEAST_FUZZY = 7
+LEAST_EDIT = 4
 
 # What is typed where no employer is named.
 NO_NAME = {
@@ -144,12 +145,13 @@ def _segments(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (F.floor(length * (i + 1) / parts) - start).cast("int")
 
 
-def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS) -> DataFrame:
+def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS, brief: bool = False) -> DataFrame:
     """(id_a, id_b) of probe strings and index strings within ``k`` edits; both have (id, s, trade).
 
     Every string of at least ``k`` + 1 letters is compared with all others; no bucket is capped. Trades
     must agree where both have one. A swap of neighbours counts as one edit; pairs at distance 2 without
-    one need the same trade and the same first and last letters.
+    one need the same trade and the same first and last letters. ``brief`` asks for the same trade of all
+    pairs, and for one edit or one swap of neighbours.
     """
     parts = k + 1
     ix = strings.select("id", "s", "trade", F.length("s").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
@@ -168,7 +170,14 @@ def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS) ->
     ends = (F.substring("s_a", 1, 1) == F.substring("s_b", 1, 1)) & (F.right("s_a", F.lit(1)) == F.right("s_b", F.lit(1)))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     swap = (F.length("s_a") == F.length("s_b")) & (letters("s_a") == letters("s_b"))
-    return pairs.select("id_a", "id_b", "s_a", "s_b", ((F.col("trade_a") == F.col("trade_b")) & (F.col("trade_a") != "")).alias("__trade")).distinct().where(d.between(0, 1) | (d == 2) & (swap | ends & F.col("__trade"))).select("id_a", "id_b").distinct()
+    same = (F.col("trade_a") == F.col("trade_b")) & (F.col("trade_a") != "")
+    pairs = pairs.select("id_a", "id_b", "s_a", "s_b", same.alias("__trade")).distinct()
+    if brief:
+        turned = F.expr("exists(sequence(1, greatest(length(s_a) - 1, 1)), i -> concat(substr(s_a, 1, i - 1), substr(s_a, i + 1, 1), substr(s_a, i, 1), substr(s_a, i + 2)) = s_b)")
+        near = F.col("__trade") & (d.between(0, 1) | (d == 2) & turned)
+    else:
+        near = d.between(0, 1) | (d == 2) & (swap | ends & F.col("__trade"))
+    return pairs.where(near).select("id_a", "id_b").distinct()
 
 
 def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:
@@ -187,6 +196,8 @@ def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS) -> DataFram
     turned = nodes.select("id", "trade", F.explode(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(6)) - 1), lambda i: F.array_join(turn(i), ""))).alias("s"))
     fuzzy = F.length("s") >= LEAST_FUZZY
     near = segment_pairs(turned.where(fuzzy), nodes.where(fuzzy).select("id", "s", "trade"), k)
+    brief = F.length("s").between(LEAST_EDIT, LEAST_FUZZY)  # the longest may pair with one that is a letter shorter
+    near = near.union(segment_pairs(turned.where(brief), nodes.where(brief).select("id", "s", "trade"), MAX_EDITS, brief=True))
     same = turned.alias("x").join(nodes.alias("y"), F.col("x.s") == F.col("y.s")).where("x.id <> y.id and (x.trade = y.trade or x.trade = '' or y.trade = '')").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     comps = connected_components(near.union(same), "id_a", "id_b")
     p = p.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("entity", F.coalesce("root", "id"))

@@ -70,3 +70,12 @@ def test_components(spark):
     linked = {x for a, b in edges[:120] if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_names(spark):
+    groups = [["Smith Logistics", "Smiht Logistics", "Smithe Logistics"], ["Marlow Foods", "Marlowe Foods"], ["Smith Foods"], ["Htims Logistics"], ["Abe Glass"], ["Abel Glass"], ["Lima Foods"], ["Mila Foods"]]
+    df = spark.createDataFrame([(v,) for g in groups for v in g], "company string")
+    got = {r.name: r.entity for r in N.linked_names(df, "company").collect()}
+    for g in groups:
+        assert len({got[v] for v in g}) == 1, g
+    assert len({got[g[0]] for g in groups}) == len(groups)
