@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.functions.plan import fenced
+
 WHITE = " \t\r\n ​﻿"
 
 # What boards write where a description is missing.
@@ -36,6 +38,8 @@ ELLIPSIS = r"(?:\.\.\.+|…)"
 #: A marker that only a cut leaves: [...], (more), "See full ad >", a broken last character.
 HARD_MARK = rf"(?iu)(?:\[\s*{ELLIPSIS}\s*\]|(?:{ELLIPSIS}\s*)?[(\[](?:more|read more|show more|mehr|ver más|leer más|lire la suite|更多)[)\]]|(?:{ELLIPSIS}\s*)?(?:see|read|show|view) (?:full|more|the full)\b[^\n.!?]{{0,30}}|(?:{ELLIPSIS}\s*)?(?:read|show) more|weiterlesen|leer más|�)$"
 DOTS = rf"{ELLIPSIS}$"
+#: The beginning of a tag or of an entity, whose rest is missing.
+BROKEN_MARKUP = r"(?:&(?:#\d{0,6}|n(?:b(?:sp?)?)?|a(?:mp?)?|[lg]t?|q(?:u(?:ot?)?)?)|</?[a-zA-Z][a-zA-Z0-9]{0,10}(?:\s[^<>\n]{0,60})?|<[!/]?)$"
 #: No marker of a cut is longer; endings are matched against so many last characters.
 MARK_CHARS = 80
 LABEL = r"(?iu)^[\p{L} ]{3,30}:\s*(?:\S+@\S+\.\p{L}{2,}|https?://\S+|[\p{Lu}\d/-]*\d{3,})$"
@@ -52,9 +56,8 @@ def is_missing(text: Column) -> Column:
     return F.coalesce(core.isin(*STAND_INS) | ~F.rlike(text, F.lit(r"[\p{L}\p{N}]")), F.lit(True))
 
 
-def _any_of(text: Column, words: list[str]) -> Column:
-    """One of the words occurs, letter case aside. Plain searches; far cheaper than an alternation."""
-    low = F.lower(text)
+def _any_of(low: Column, words: list[str]) -> Column:
+    """One of the words occurs in a text of lower case. Plain searches; far cheaper than an alternation."""
     found = F.contains(low, F.lit(words[0]))
     for w in words[1:]:
         found = found | F.contains(low, F.lit(w))
@@ -64,17 +67,22 @@ def _any_of(text: Column, words: list[str]) -> Column:
 def has_clutter(text: Column) -> Column:
     """The text carries menus, notices, share links or markup beside the posting itself."""
     markup = (F.contains(text, F.lit("<")) | F.contains(text, F.lit("&"))) & F.rlike(text, F.lit(MARKUP))
-    return F.coalesce(markup | _any_of(text, FURNITURE), F.lit(False))
+    return F.coalesce(markup | _any_of(F.lower(text), FURNITURE), F.lit(False))
+
 
+def with_body(df: DataFrame, text: str, body: str) -> DataFrame:
+    """``df`` with ``body``: the text without page furniture and markup that follow its end (markup, furniture, markup).
 
-def without_tail_clutter(text: Column) -> Column:
-    """The text without page furniture and markup that follow its end (markup, furniture, markup)."""
-    strip = lambda t: F.when(F.endswith(t, F.lit(">")), rtrim(F.regexp_replace(t, _TAIL_MARKUP, ""))).otherwise(t)
-    text = strip(rtrim(text))
-    text = F.when(_any_of(text, TAILS), rtrim(F.regexp_replace(text, _TAIL, ""))).otherwise(text)
-    return strip(text)
+    Each step is a column of its own behind a fence, so that none is computed more than once.
+    """
+    t, low = F.col(body), F.col("__low")
+    bare = F.when(F.endswith(t, F.lit(">")), rtrim(F.regexp_replace(t, _TAIL_MARKUP, ""))).otherwise(t)
+    df = df.withColumn(body, fenced(rtrim(F.col(text)))).withColumn(body, fenced(bare)).withColumn("__low", fenced(F.lower(t)))
+    df = df.withColumn(body, fenced(F.when(_any_of(low, TAILS), rtrim(F.regexp_replace(t, _TAIL, ""))).otherwise(t)))
+    return df.withColumn(body, fenced(bare)).drop("__low")
 
 
 def is_cut_mark(text: Column) -> Column:
-    """The text ends in a marker that only a cut leaves."""
-    return F.rlike(F.right(text, F.lit(MARK_CHARS)), F.lit(HARD_MARK))
+    """The text ends in a marker that only a cut leaves, or inside a tag or entity."""
+    tail = F.right(text, F.lit(MARK_CHARS))
+    return F.rlike(tail, F.lit(HARD_MARK)) | F.rlike(tail, F.lit(BROKEN_MARKUP))

@@ -3,9 +3,11 @@
 The length of a text is treated as a discrete survival time. For each source, window functions
 give the hazard of every length (rows that end there, of those at least as long) and the hazard of
 its neighbours; lengths whose hazard is far above are found under false-discovery control
-(Benjamini-Hochberg). At such a length any ending without a closing mark is a cut. Elsewhere an
-ending must itself be incomplete: it holds a marker of a cut, or its last words end no closed sentence
-(for a list item, no other line) of the whole collection. Counts cover all rows.
+(Benjamini-Hochberg). At such a length any ending without a closing mark is a cut. Cuts in transfer lie at
+any length; there an ending without a closing mark is judged by what its last words do in all texts: how often
+they go on and how often they end a sentence or a line (:mod:`hirelake.llm.continuation`), under the same control of false
+discoveries. A finished last line that lacks only its full stop ends like others do, or is seen nowhere
+else, and stays. Counts cover all rows.
 """
 
 from __future__ import annotations
@@ -15,31 +17,31 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.plan import fenced
 from hirelake.llm import textparts as T
+from hirelake.llm.continuation import asked_keys, evidence, flat
 from hirelake.session import cut as materialised
-from hirelake.sources.tables import table
+from hirelake.sources.tables import broadcast_small, table
 
 FDR = 0.01
-NEIGHBOURS = 25
-#: Words at the end of a sentence, and of a line or list item that needs no closing mark.
-END_WORDS, LINE_END_WORDS = 4, 3
-BULLETS = "*•·▪◦–-"
-START_WORDS = 4
+NEIGHBOURS, CLOSE = 25, 3
+#: Of finished phrases, the share of their occurrences that are ends is taken as Beta(ENDS, 1): high, but not always 1.
+ENDS = 3
 
 
 def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, fdr: float = FDR) -> DataFrame:
     """(source, n_chars, n, at_risk, neighbour_hazard, log_p, significant) of (source, n_chars) rows.
 
-    ``neighbour_hazard`` is taken over lengths up to ``neighbours`` away, without the length itself.
+    ``neighbour_hazard`` is the larger of those of the lengths up to ``neighbours`` and up to ``CLOSE`` away, without the length
+    itself: texts of like build crowd at lengths side by side, a field limit cuts at one.
     ``log_p`` is the logarithm of a Chernoff bound on the Poisson probability of at least ``n`` ends.
     ``significant`` controls the false-discovery rate within a source. The table has at most one row
     for each source and length, so its windows stay small whatever the number of texts.
     """
     hist = lengths.groupBy("source", "n_chars").agg(F.count("*").alias("n"))
     by_len = Window.partitionBy("source").orderBy("n_chars")
-    around = by_len.rangeBetween(-neighbours, neighbours)
     hist = hist.withColumn("at_risk", F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("n_chars")).rowsBetween(Window.unboundedPreceding, 0)))
     # lengths that no text has have no row; their share of the risk is that of the rows around
-    hist = hist.withColumn("neighbour_hazard", (F.sum("n").over(around) - F.col("n") + 0.5) / (F.avg("at_risk").over(around) * (2 * neighbours)))
+    hazard = lambda k: (F.sum("n").over(w := by_len.rangeBetween(-k, k)) - F.col("n") + 0.5) / (F.avg("at_risk").over(w) * (2 * k))
+    hist = hist.withColumn("neighbour_hazard", F.greatest(hazard(neighbours), hazard(CLOSE)))
     lam = F.col("at_risk") * F.col("neighbour_hazard")
     hist = hist.withColumn("log_p", F.when(F.col("n") > lam, -(F.col("n") * F.log(F.col("n") / lam) - F.col("n") + lam)).otherwise(F.lit(0.0)))
     by_p = Window.partitionBy("source").orderBy("log_p", "n_chars")
@@ -49,25 +51,6 @@ def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, fdr: float
     return hist.drop("__rank", "__m")
 
 
-def _normal(text: Column) -> Column:
-    """Letter case and the values of digits do not matter to the shape of a sentence."""
-    return F.translate(F.lower(text), "123456789", "000000000")
-
-
-def _core(sentence: Column) -> Column:
-    """A normalised sentence without bullet and closing marks, led by a mark of its beginning."""
-    return F.concat(F.lit("^ "), F.ltrim(F.rtrim(sentence, F.lit(".!?…。！？)]\"'”’»: \t")), F.lit("*•·▪◦–- \t")))
-
-
-def _end_key(core: Column, line: Column) -> Column:
-    """Key of the last words; ends of sentences and of lines without a closing mark are told apart."""
-    return F.when(line, F.xxhash64(F.lit("l"), F.substring_index(core, " ", -LINE_END_WORDS))).otherwise(F.xxhash64(F.lit("e"), F.substring_index(core, " ", -END_WORDS)))
-
-
-def _start_key(core: Column) -> Column:
-    return F.xxhash64(F.lit("s"), F.substring_index(core, " ", START_WORDS + 1))
-
-
 def _closed(sentence: Column) -> Column:
     """The sentence has a closing mark, and no ellipsis."""
     end = F.rtrim(sentence, F.lit("\"'”’») "))
@@ -77,41 +60,44 @@ def _closed(sentence: Column) -> Column:
 def features(df: DataFrame, text: str, source: str, keep: list[str]) -> DataFrame:
     """One narrow row for each row of ``df``: ``keep``, the source, length, kind of ending and its keys.
 
-    ``ending``: 'missing' (NULL, blank or a stand-in), 'mark' (a marker that only a cut leaves),
-    'dots' (an ellipsis), 'whole' (a closing mark or a labelled reference), 'open' (none of them).
+    ``ending``: 'missing' (NULL, blank or a stand-in), 'mark' (a marker that only a cut leaves, a broken tag or entity),
+    'dots' (an ellipsis), 'whole' (a closing mark or a labelled reference), 'open' (none of them). ``last`` is the flat last
+    sentence of 'dots' and 'open' endings.
     """
-    t = F.col(text)
-    df = df.select(*keep, F.coalesce(F.col(source), F.lit("unknown")).alias("source"), t.alias("__text"), F.length(t).alias("n_chars"), T.is_missing(t).alias("__missing"))
-    df = df.withColumn("__body", T.without_tail_clutter(F.col("__text")))
-    body = F.col("__body")
-    hard, dots = T.is_cut_mark(body), F.rlike(F.right(body, F.lit(T.MARK_CHARS)), F.lit(T.DOTS))
-    df = df.withColumn("__kind", F.when(F.col("__missing"), "missing").when(hard, "mark").when(dots, "dots"))
-    df = df.withColumn("__last", F.try_element_at(F.split(body, T.SENTENCE_END), F.lit(-1)))
-    last = F.col("__last")
+    t, body, last, kind = F.col("__text"), F.col("__body"), F.col("__last"), F.col("__kind")
+    df = df.select(*keep, F.coalesce(F.col(source), F.lit("unknown")).alias("source"), F.col(text).alias("__text"))
+    df = T.with_body(df.withColumns({"n_chars": F.length(t), "__missing": T.is_missing(t)}), "__text", "__body")
+    dots = F.rlike(F.right(body, F.lit(T.MARK_CHARS)), F.lit(T.DOTS))
+    df = df.withColumn("__kind", fenced(F.when(F.col("__missing"), "missing").when(T.is_cut_mark(body), "mark").when(dots, "dots")))
+    df = df.withColumn("__last", fenced(F.try_element_at(F.split(body, T.SENTENCE_END), F.lit(-1))))
     whole = (last == "") | _closed(last) | F.rlike(last, F.lit(T.LABEL))
-    df = df.withColumn("ending", F.when(F.col("__kind").isNotNull(), F.col("__kind")).when(F.coalesce(whole, F.lit(True)), "whole").otherwise("open"))
-    df = df.withColumn("__core", F.when(F.col("ending").isin("dots", "open"), _core(_normal(last))))
-    df = df.withColumn("__item", F.left(F.ltrim(last), F.lit(1)).isin(*BULLETS))
-    df = df.withColumn("opening", F.xxhash64(F.substring("__text", 1, 40)))
-    c = F.col("__core")
-    n_words = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return df.select(*keep, "source", "n_chars", "ending", "opening", n_words.alias("n_words"), _end_key(c, F.col("__item")).alias("end_key"), _start_key(c).alias("start_key"), F.xxhash64(c).alias("whole_key"))
+    df = df.withColumn("ending", fenced(F.when(kind.isNotNull(), kind).when(F.coalesce(whole, F.lit(True)), "whole").otherwise("open")))
+    return df.select(*keep, "source", "n_chars", "ending", F.xxhash64(F.substring("__text", 1, 40)).alias("opening"), F.when(F.col("ending").isin("dots", "open"), flat(last)).alias("last"))
+
+
+def flat_bodies(df: DataFrame, text: str) -> DataFrame:
+    """(flat) of each text that is not missing, without what follows its end."""
+    rows = df.select(F.col(text).alias("__text")).where(~T.is_missing(F.col("__text")))
+    return T.with_body(rows, "__text", "__body").select(flat(F.col("__body")).alias("flat"))
+
+
+def _ends_seldom(n_on: Column, n_end: Column) -> Column:
+    """Logarithm of the probability that a finished phrase ends at most ``n_end`` times of all: a Beta-binomial tail."""
+    term = lambda n: sum((F.log(n + i) for i in range(1, ENDS + 1)), F.lit(0.0))
+    return term(n_end) - term(n_on + n_end)
 
 
-def _known_keys(df: DataFrame, text: str) -> DataFrame:
-    """(key, n): how often each end of a finished sentence or line, and each beginning, occurs in all texts.
+def discoveries(rows: DataFrame, group: str, log_p: str, fdr: float = FDR) -> DataFrame:
+    """``rows`` with ``found``: under control of the false-discovery rate within ``group`` (Benjamini-Hochberg).
 
-    Ends of closed sentences and of inner lines without a closing mark have keys of their own; the last
-    sentence of a text counts as an end only with its closing mark. Keys are hashes of a few
-    words, so their counting is combined before the shuffle, and the rows shuffled are 16 bytes wide.
+    Ranks come from counts of tenths of ``log_p``, rounded to the safe side, so no window holds the rows of a group.
     """
-    body = _normal(T.without_tail_clutter(F.col(text)))
-    s = df.where(~T.is_missing(F.col(text))).select(fenced(F.split(body, T.SENTENCE_END)).alias("__s"))
-    s = s.select("__s", F.size("__s").alias("__n"))  # before the explode, which would copy the array to each row
-    s = s.select(F.posexplode("__s").alias("__i", "__sentence"), "__n").where(F.btrim("__sentence") != "")
-    s = s.select(_core(F.col("__sentence")).alias("__c"), _closed(F.col("__sentence")).alias("__closed"), (F.col("__i") < F.col("__n") - 1).alias("__inner"))
-    keys = F.array(_start_key(F.col("__c")), F.when(F.col("__inner") | F.col("__closed"), _end_key(F.col("__c"), ~F.col("__closed"))))
-    return s.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("__b", F.least(F.floor(F.coalesce(F.col(log_p), F.lit(0.0)) * -10), F.lit(5000)).cast("int"))
+    hist = rows.groupBy(group, "__b").agg(F.count("*").alias("__n"))
+    up = Window.partitionBy(group).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.col("__b") / -10 <= F.log(F.lit(fdr) * F.sum("__n").over(up) / F.sum("__n").over(Window.partitionBy(group)))
+    least = hist.select(group, F.when(passed, F.col("__b")).alias("__b")).groupBy(group).agg(F.min("__b").alias("__least"))
+    return rows.join(broadcast_small(least), group, "left").withColumn("found", F.coalesce(F.col("__b") >= F.col("__least"), F.lit(False))).drop("__b", "__least")
 
 
 def truncated(df: DataFrame, text: str, source: str, keep: list[str], formula_share: float = 0.5, least: int = 3) -> DataFrame:
@@ -119,30 +105,36 @@ def truncated(df: DataFrame, text: str, source: str, keep: list[str], formula_sh
 
     A text ends cut if it holds a marker that only a cut leaves; if it ends in an ellipsis, unless
     its last sentence is a closing formula (at least ``least`` texts that open differently end so, and
-    they are ``formula_share`` of all sentences that begin like it); or if it has no closing mark and its last words end
-    no other sentence or line, or its length is one at which its source cuts. NULL, blank and
+    they are ``formula_share`` of all sentences that begin like it); or if it has no closing mark and its last letters behind
+    the words before them go on elsewhere and end there far less often than finished phrases do, or its length is one at
+    which its source cuts. NULL, blank and
     stand-in texts are not cut. Repeated rows and ties are judged alike; an empty table gives none.
     ``keep`` must hold a column that names the row. A NULL source counts as 'unknown'.
     """
-    # used five times below; narrow, and costly to make
+    # used several times below; narrow, and costly to make
     rows = materialised(features(df, text, source, keep))
     hazards = length_hazards(rows.where(F.col("ending") != "missing").select("source", "n_chars")).where("significant").select("source", "n_chars", F.lit(True).alias("at_limit"))
-    rows = rows.join(hazards, ["source", "n_chars"], "left")
     asked = F.col("ending").isin("dots", "open")
-    open_rows = rows.where(asked)
-    # only keys that some unfinished ending asks for are worth carrying to the join
-    wanted = open_rows.select(F.explode(F.array("end_key", "start_key")).alias("key")).distinct()
-    known = _known_keys(df, text).join(wanted, "key", "left_semi")
-    equal = open_rows.where(F.col("ending") == "dots").groupBy("whole_key").agg(F.count_distinct("opening").alias("n_equal"))
-    judged = (
-        open_rows.join(known.select(F.col("key").alias("end_key"), F.col("n").alias("n_end")), "end_key", "left")
-        .join(known.select(F.col("key").alias("start_key"), F.col("n").alias("n_start")), "start_key", "left")
-        .join(equal, "whole_key", "left")
-    )
-    formula = (F.col("n_words") >= START_WORDS) & (F.col("n_equal") >= least) & (F.col("n_equal") >= formula_share * F.coalesce(F.col("n_start"), F.lit(1)))
-    cut = F.when(F.col("ending") == "dots", ~F.coalesce(formula, F.lit(False))).otherwise(F.col("n_end").isNull() | F.coalesce(F.col("at_limit"), F.lit(False)))
+    open_rows = materialised(asked_keys(rows.where(asked).withColumn("whole_key", F.xxhash64("last")), "last"))
+    # an ellipsis asks for its beginning, another ending for its last words
+    keys = F.when(F.col("ending") == "dots", F.array("key_start")).otherwise(F.array("key_two", "key_one"))
+    known = materialised(evidence(flat_bodies(df, text), "flat", open_rows.select(F.explode(keys).alias("key"))))
+    dots = open_rows.where(F.col("ending") == "dots")
+    equal = dots.groupBy("whole_key").agg(F.count_distinct("opening").alias("n_equal"))
+    dots = dots.join(equal, "whole_key").join(known.select(F.col("key").alias("key_start"), F.col("n_on").alias("n_start")), "key_start", "left")
+    formula = F.col("key_start").isNotNull() & (F.col("n_equal") >= least) & (F.col("n_equal") >= formula_share * F.coalesce(F.col("n_start"), F.lit(1)))
     out = [*keep, "source", "n_chars", "ending"]
-    return judged.select(*out, cut.alias("cut")).unionByName(rows.where(~asked).select(*out, (F.col("ending") == "mark").alias("cut")))
+    ends = open_rows.where(F.col("ending") == "open")
+    for k in ("two", "one"):
+        zero = {f"n_on_{k}": 0, f"n_end_{k}": 0}
+        ends = ends.join(known.select(F.col("key").alias(f"key_{k}"), F.col("n_on").alias(f"n_on_{k}"), F.col("n_end").alias(f"n_end_{k}")), f"key_{k}", "left").fillna(zero)
+    two, one = _ends_seldom(F.col("n_on_two"), F.col("n_end_two")), _ends_seldom(F.col("n_on_one"), F.col("n_end_one"))
+    # seldom two words: the word before alone may tell more; of two tests the better counts half
+    log_p = F.when(F.col("n_end_two") == 0, F.least(F.lit(0.0), F.least(two, one) + F.log(F.lit(2.0)))).otherwise(two)
+    ends = discoveries(ends.withColumn("log_p", log_p), "source", "log_p").join(broadcast_small(hazards), ["source", "n_chars"], "left")
+    cut = F.col("found") | F.coalesce(F.col("at_limit"), F.lit(False))
+    judged = ends.select(*out, cut.alias("cut")).unionByName(dots.select(*out, (~formula).alias("cut")))
+    return judged.unionByName(rows.where(~asked).select(*out, (F.col("ending") == "mark").alias("cut")))
 
 
 def _job_cache(spark, sf_dir: str) -> DataFrame:
