@@ -1,11 +1,18 @@
-"""Near-duplicate texts by an exact prefix-filter join with bit sketches.
-
-A text is the set of its word shingles, in one order for all texts: seldom ones first. Two sets of
+"""Near-duplicate texts by banded minima of shingles, parity sketches and an exact check.
+
+A text is the set of its word shingles. The least hash of a set under one of many hash functions is equal for
+two sets with the probability of their similarity; ``ROWS`` such minima make the key of a band, and texts with an
+equal band are candidates. With 96 bands of four minima a pair is met with probability 0.998 at a similarity of 0.5, 0.9998 at
+0.55 and nearly 1 beyond, whatever the sizes. Candidates are pruned by a parity sketch (each
+shingle flips one bit) whose Hamming distance is a lower bound of the number of differing shingles, and the rest are
+verified exactly on the shingles. ``exact=True`` takes prefixes instead of bands, which no pair can miss: two sets of
 n and m shingles with a similarity of at least t share c >= t * max(n, m) of them, so the first n - c + 1 of the one
-and m - c + 1 of the other have a shingle in common: texts are joined on these prefixes, and no pair can be missed.
-The order comes from counts of a sample and decides only how many candidates there are; any order gives the same
-pairs. Candidates are pruned by a bit sketch (each shingle flips one bit) whose Hamming distance is a lower bound of
-the number of differing shingles, and the rest are verified exactly on the shingles.
+and m - c + 1 of the other, in any order common to all texts, have one in common. It makes as many candidates
+as texts share seldom shingles, which grows with the square of a collection written from stock phrases.
+
+Keys travel packed: a text's keys go to parts by their hash, and a part gets arrays of 8 bytes for a key,
+a short key and a short id, sorted. In a part equal keys stand side by side and give their pairs; a key of very many
+texts goes on in blocks, of which each two give their pairs in a task of their own. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,8 +31,14 @@ SHINGLE = 3
 SIMILARITY = 0.5
 LEAST_WORDS = 25
 BIT_WORDS = 8  # 512 bits
-#: Groups of texts with one key up to this size give their pairs in place; larger ones through a join.
-IN_PLACE = 32
+#: Minima of a band, and bands.
+ROWS, BANDS = 4, 96
+#: Groups of texts with one key up to this size give their pairs in place; larger ones in blocks of so many texts.
+IN_PLACE = 1024
+#: Keys in a part, about: 8 bytes each.
+PART_KEYS = 500_000
+#: A packed key: so many bits of the key above so many of the id.
+KEY_BITS, ID_BITS = 24, 40
 #: Ids of candidates, of 16 bytes, are broadcast up to this count, which is taken first; beyond it they are shuffled.
 MAX_BROADCAST_IDS = 500_000
 
@@ -87,71 +100,206 @@ def _count(batches: Iterator, k: int) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
 
-def _sketch(batches: Iterator, k: int, similarity: float, counts) -> Iterator:
-    """(ord, id, n, bits, keys) of (ord, id, words): bit sketch and the prefix in the order of ``counts``, in whole batches."""
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(29)
+
+
+def _band_keys(doc, h, n):
+    """(number of the text, key) of the bands of each text; all texts have a shingle."""
+    import numpy as np
+
+    rng = np.random.default_rng(20250701)
+    factors = rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    keys = np.empty((BANDS, len(n)), np.uint64)
+    text = 0
+    bounds = np.r_[0, np.cumsum(n)]
+    while text < len(n):  # pieces that stay in the cache
+        stop = max(text + 1, int(np.searchsorted(bounds, bounds[text] + (1 << 17), "right")) - 1)
+        part = (h[bounds[text] : bounds[stop]] >> np.uint64(16)).astype(np.uint32)
+        starts = bounds[text:stop] - bounds[text]
+        for b in range(BANDS):
+            key = np.full(stop - text, b + 1, np.uint64)
+            for r in range(ROWS):
+                x = part * factors[b * ROWS + r]
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0x2C1B3C6D)
+                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+            keys[b, text:stop] = key
+        text = stop
+    return np.tile(np.arange(len(n)), BANDS), keys.reshape(-1)
+
+
+def _prefix_keys(doc, h, n, similarity: float, counts):
+    """(number of the text, key) of the prefix of each text in the order of ``counts``."""
+    import numpy as np
+
+    prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    order = np.lexsort((h, counts[_slots(h)], doc))
+    keep = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < prefix[doc]  # doc is in order before and after
+    return doc[keep], _mixed(h[order][keep])
+
+
+SKETCHED = "part int, ord bigint, id bigint, n int, bits array<bigint>, keys binary"
+FOUND = "ord bigint, id bigint, n int, bits array<bigint>, a bigint, b bigint, heavy bigint, members binary"
+
+
+def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
+    """``SKETCHED`` rows of (ord, id, words): one for each text with its bit sketch, and one for each part with packed keys."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        ids = batch.column("id")
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id").to_numpy().view(np.uint64)
         doc, h = _batch_shingles(batch, k)
         n = np.bincount(doc, minlength=len(ids))
         bits = np.zeros((len(ids), BIT_WORDS), np.uint64)
         np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(3) & np.uint64(63)))
-        prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-        order = np.lexsort((h, counts[_slots(h)], doc))
-        keep = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < prefix[doc]  # doc is in order before and after
-        keys, per = h[order][keep], np.bincount(doc[keep], minlength=len(ids))
-        offsets = pa.array(np.r_[0, np.cumsum(per)].astype(np.int32))
-        key_lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))
         bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("ord"), ids, pa.array(n.astype(np.int32)), bit_lists, key_lists], names=["ord", "id", "n", "bits", "keys"])
+        none = lambda kind, m=len(ids): pa.nulls(m, kind)
+        yield pa.RecordBatch.from_arrays([pa.array((_mixed(ids) % np.uint64(parts)).astype(np.int32)), batch.column("ord"), batch.column("id"), pa.array(n.astype(np.int32)), bit_lists, none(pa.binary())], names=["part", "ord", "id", "n", "bits", "keys"])
+        _, first = np.unique(ids, return_index=True)  # copies in a batch send their keys once
+        sends = np.zeros(len(ids), bool)
+        sends[first] = True
+        mine = sends[doc]
+        doc, h = (np.cumsum(sends) - 1)[doc[mine]], h[mine]
+        who, key = keys_of(doc, h, n[sends])
+        part = ((key >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int32)
+        packed = (key & np.uint64((1 << KEY_BITS) - 1)) << np.uint64(ID_BITS) | (ids[sends] & np.uint64((1 << ID_BITS) - 1))[who]
+        order = np.lexsort((packed, part))
+        part, packed = part[order], packed[order]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.r_[start, len(part)].astype(np.int32) * np.int32(8)), pa.py_buffer(packed)])
+        m = len(start)
+        yield pa.RecordBatch.from_arrays([pa.array(part[start]), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs], names=["part", "ord", "id", "n", "bits", "keys"])
+
+
+def _pairs(of, run, longest: int) -> Iterator:
+    """All pairs within runs of equal ``run``, about a million at a time: (first, second), by their distance in the sorted arrays."""
+    import numpy as np
 
+    at, out, held = np.arange(len(run) - 1), [], 0
+    for d in range(1, longest):
+        at = at[at + d < len(run)]
+        at = at[run[at + d] == run[at]]
+        for i in range(0, len(at), 1 << 20):
+            some = at[i : i + (1 << 20)]
+            out.append((of[some], of[some + d]))
+            held += len(some)
+            if held >= 1 << 20:
+                yield tuple(np.concatenate([x[i] for x in out]) for i in (0, 1))
+                out, held = [], 0
+        if not len(at):
+            break
+    if out:
+        yield tuple(np.concatenate([x[i] for x in out]) for i in (0, 1))
+
+
+def _meet(batches: Iterator, in_place: int) -> Iterator:
+    """``FOUND`` rows of a partition of ``SKETCHED`` ones: the texts as they are, pairs of short ids, and members of heavy keys in blocks."""
+    import numpy as np
+    import pyarrow as pa
 
-def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(ord, id, n, bits, keys) of each text with enough words; ``id`` hashes its words, so copies share it."""
+    names = ["ord", "id", "n", "bits", "a", "b", "heavy", "members"]
+    blobs: dict[int, list] = {}
+    for batch in batches:
+        keys = batch.column("keys")
+        texts = batch.filter(keys.is_null())
+        if texts.num_rows:
+            m = texts.num_rows
+            yield pa.RecordBatch.from_arrays([*(texts.column(c) for c in names[:4]), *(pa.nulls(m, t) for t in (pa.int64(),) * 3), pa.nulls(m, pa.binary())], names=names)
+        kept = batch.filter(keys.is_valid())
+        for part, data in zip(kept.column("part").to_pylist(), kept.column("keys"), strict=True):
+            blobs.setdefault(part, []).append(np.frombuffer(data.as_py(), np.uint64))
+    bit_type = pa.list_(pa.int64())
+    for part, arrays in blobs.items():
+        packed = np.unique(np.concatenate(arrays))  # copies meet here
+        key, ids = packed >> np.uint64(ID_BITS), (packed & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        light = np.repeat((size > 1) & (size <= in_place), size)
+        for x, y in _pairs(ids[light], key[light], in_place):
+            m = len(x)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type)), pa.array(x), pa.array(y), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+        for s, m in zip(start[size > in_place], size[size > in_place], strict=True):
+            blocks = [ids[s + i : s + min(m, i + in_place)].tobytes() for i in range(0, m, in_place)]
+            w = len(blocks)
+            heavy = np.full(w, int(part) << KEY_BITS | int(key[s]), np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(w, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type, pa.int64(), pa.int64())), pa.array(heavy), pa.array(blocks, pa.binary())], names=names)
+
+
+def _across(batches: Iterator) -> Iterator:
+    """(a, b) of two blocks of members of one key: all pairs between them, or within a block beside itself."""
     import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            a, b = (np.frombuffer(v.as_py(), np.int64) for v in (x, y))
+            if x == y:
+                i, j = np.triu_indices(len(a), 1)
+            else:
+                i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["a", "b"])
+
+
+def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """``FOUND`` rows of each text with enough words: (ord, id, n, bits), where ``id`` hashes its words, so copies share it; and
+    beside them the pairs (a, b) of short ids of texts with a key in common, and the members of heavy keys."""
+    import numpy as np
+
+    spark = df.sparkSession
 
     def hashed(rows: DataFrame) -> DataFrame:
         w = rows.select(F.col(order).cast("bigint").alias("ord"), fenced(words_of(F.col(text))).alias("__w")).where(F.size("__w") >= F.lit(max(least_words, k)))
         return w.select("ord", F.xxhash64(F.array_join("__w", " ")).alias("id"), F.transform("__w", lambda x: F.xxhash64(x)).alias("words"))
 
-    every = max(1, df.count() // COUNTED_TEXTS)
-    some = hashed(df.where(F.pmod(F.xxhash64(F.col(order)), F.lit(every)) == 0))  # for the order only; every text is joined
-    found = some.mapInArrow(lambda batches: _count(batches, k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    counts = np.zeros(1 << SLOT_BITS, np.int32)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-    return cut(hashed(df).mapInArrow(lambda batches: _sketch(batches, k, similarity, shared.value), "ord bigint, id bigint, n int, bits array<bigint>, keys array<bigint>"))
+    n_rows = df.count()
+    if exact:
+        every = max(1, n_rows // COUNTED_TEXTS)
+        some = hashed(df.where(F.pmod(F.xxhash64(F.col(order)), F.lit(every)) == 0))  # for the order only; every text is joined
+        found = some.mapInArrow(lambda batches: _count(batches, k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+        counts = np.zeros(1 << SLOT_BITS, np.int32)
+        counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        shared = spark.sparkContext.broadcast(counts)
+        keys_of = lambda doc, h, n: _prefix_keys(doc, h, n, similarity, shared.value)
+    else:
+        keys_of = _band_keys
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows * BANDS // (4 * PART_KEYS) + 1)
+    parts = 4 * tasks
+    rows = hashed(df).mapInArrow(lambda batches: _sketch(batches, k, parts, keys_of), SKETCHED)
+    in_place = IN_PLACE
+    return cut(rows.repartition(tasks, "part").mapInArrow(lambda batches: _meet(batches, in_place), FOUND))
 
 
 def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of different texts with at least ``similarity`` of their shingles in common."""
-    # copies of a text meet in the set before the shuffle
-    entries = sketches.select("id", "n", F.posexplode("keys").alias("i", "key")).select("key", F.struct("id", "n", "i").alias("e"))
-    buckets = cut(entries.groupBy("key").agg(F.collect_set("e").alias("es")).where(F.size("es") > 1))
-    small = buckets.where(F.size("es") <= IN_PLACE).select(F.array_sort("es").alias("es"))
-    near = small.select("es", F.posexplode("es").alias("p", "a")).select("a", F.explode(F.slice("es", F.col("p") + 2, F.size("es"))).alias("b"))
-    large = buckets.where(F.size("es") > IN_PLACE).select("key", F.explode("es").alias("a"))
-    far = large.join(large.withColumnRenamed("a", "b"), "key").where(F.col("a.id") < F.col("b.id")).select("a", "b")
-    # at their first shingle in common, the rest of both lists must hold all they have to share
-    rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    enough = rest >= (F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-9
-    pairs = near.where(enough).union(far.where(enough)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    facts = sketches.select("id", "n", "bits").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    blocks = sketches.where(F.col("heavy").isNotNull()).select("heavy", "members")
+    x, y = blocks.withColumnRenamed("members", "x"), blocks.withColumnRenamed("members", "y")
+    two = x.join(y, "heavy").where(F.col("x") <= F.col("y")).select("x", "y")
+    two = two.repartition(F.xxhash64("x", "y")) if not blocks.isEmpty() else two.limit(0)
+    short = sketches.where(F.col("a").isNotNull()).select("a", "b").union(two.mapInArrow(_across, "a bigint, b bigint"))
+    short = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    facts = sketches.where(F.col("id").isNotNull()).groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("ord").alias("ord"))
+    facts = facts.withColumn("short", F.col("id").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+    pairs = short
     for side in ("a", "b"):
-        pairs = pairs.join(facts.withColumnsRenamed({"id": f"id_{side}", "n": f"n_{side}", "bits": f"bits_{side}"}), f"id_{side}")
+        pairs = pairs.join(facts.select(F.col("short").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "bits", "ord"))), side)
     hamming = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     n_a, n_b = F.col("n_a"), F.col("n_b")
     bound = (n_a + n_b) * (1 - similarity) / (1 + similarity)
-    pairs = cut(pairs.where((F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)) & (hamming <= bound)).select("id_a", "id_b"))
-    asked = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    pairs = cut(pairs.where((F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)) & (hamming <= bound)).select("id_a", "id_b", "ord_a", "ord_b"))
     # one text of each candidate is read again and its shingles compared exactly
-    some = cut(sketches.select("id", "ord").join(asked, "id", "left_semi").groupBy("id").agg(F.min("ord").alias("ord")))
+    some = cut(pairs.select(F.col("id_a").alias("id"), F.col("ord_a").alias("ord")).union(pairs.select("id_b", "ord_b")).distinct())
     if some.count() <= MAX_BROADCAST_IDS:
         some = F.broadcast(some)
     texts = df.select(F.col(order).cast("bigint").alias("ord"), F.col(text).alias("__text")).join(some, "ord")
     sets = texts.select("id", fenced(words_of(F.col("__text"))).alias("__w")).select("id", shingle_hashes(F.col("__w"), k).alias("shingles"))
+    pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     for side in ("a", "b"):
         pairs = pairs.join(sets.withColumnsRenamed({"id": f"id_{side}", "shingles": f"s_{side}"}), f"id_{side}")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -159,15 +307,16 @@ def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, simil
     return pairs.where(F.col("jaccard") >= similarity).select("id_a", "id_b", "jaccard")
 
 
-def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE) -> DataFrame:
-    """(ord_a, ord_b), ord_a < ord_b: all pairs of rows whose texts are alike, copies included.
+def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = False) -> DataFrame:
+    """(ord_a, ord_b), ord_a < ord_b: pairs of rows whose texts are alike, copies included; with ``exact`` certainly all of them,
+    else with the probabilities that stand above.
 
     NULL, empty and short texts are in no pair. Texts with the same words are alike whatever their
     letter case and punctuation. ``order`` must name the row.
     """
-    rows = sketched(df, order, text, least_words, k, similarity)
-    ids = similar_ids(df, order, text, rows, similarity, k)
-    rows = rows.select("ord", "id")
+    found = sketched(df, order, text, least_words, k, similarity, exact)
+    ids = similar_ids(df, order, text, found, similarity, k)
+    rows = found.where(F.col("id").isNotNull()).select("ord", "id")
     a, b = rows.withColumnsRenamed({"ord": "x", "id": "id_a"}), rows.withColumnsRenamed({"ord": "y", "id": "id_b"})
     different = ids.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
     copies = a.join(b, F.col("id_a") == F.col("id_b")).where("x < y")
@@ -175,14 +324,15 @@ def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMI
     return both.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
 
 
-def similar_classes(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE) -> DataFrame:
+def similar_classes(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = False) -> DataFrame:
     """(ord, class_id, n_links): the class of each text with enough words and its links to different texts.
 
     One row for each row of ``df``, so a class that holds a third of all rows is no burden; ``class_id``
     is the least ``order`` of the class. Copies share a class without links between them.
     """
-    docs = sketched(df, order, text, least_words, k, similarity)
-    ids = cut(similar_ids(df, order, text, docs, similarity, k))
+    found = sketched(df, order, text, least_words, k, similarity, exact)
+    ids = cut(similar_ids(df, order, text, found, similarity, k))
+    docs = found.where(F.col("id").isNotNull())
     links = ids.select(F.col("id_a").alias("id")).union(ids.select(F.col("id_b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     comps = connected_components(ids, "id_a", "id_b").withColumnRenamed("node", "id")
     rows = docs.select("ord", "id").join(comps, "id", "left").join(links, "id", "left").withColumn("c", F.coalesce("root", "id"))

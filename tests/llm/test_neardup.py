@@ -67,3 +67,39 @@ def test_no_pair_is_missed_near_the_bound(spark):
                 rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame([(o, t, "clash", "clash") for o, t in rows], SCHEMA)
     assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text").collect()} == brute(rows)
+
+
+def test_exact_way(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(o, t, "clash", "clash") for o, t in rows], SCHEMA)
+    got = [(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text", exact=True).collect()]
+    assert set(got) == brute(rows) and len(got) == len(set(got))
+
+
+def test_recall_by_size_and_similarity():
+    """Share of generated pairs that meet in a band, at the border and beyond; the measure of the README."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size in (23, 60, 100, 170, 250):
+        for j in (0.5, 0.51, 0.56):
+            common = int(np.ceil(2 * size * j / (1 + j)))
+            sets = []
+            for _ in range(400):
+                x = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+                sets += [x[:size], np.r_[x[:common], x[size:]]]
+            n = np.full(len(sets), size)
+            who, key = N._band_keys(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), n)
+            keys = key.reshape(N.BANDS, -1)
+            met = (keys[:, 0::2] == keys[:, 1::2]).any(0).mean()
+            assert met >= 0.98, (size, j, met)
+
+
+def test_copies_in_a_hot_group(spark):
+    """A third of the rows are copies of one text, and many more share most of it."""
+    base = [f"c{j}" for j in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join([*base[:-1], f"tail{i}"])) for i in range(40)] + [(200 + i, " ".join(f"x{i}y{j}" for j in range(40))) for i in range(40)]
+    df = spark.createDataFrame([(o, t, "", "") for o, t in rows], SCHEMA)
+    assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text").collect()} == brute(rows)
+    classes = {r.ord: (r.class_id, r.n_links) for r in N.similar_classes(df, "ord", "text").collect()}
+    assert {classes[o] for o in range(40)} == {(0, 40)} and {classes[100 + i] for i in range(40)} == {(0, 40)} and classes[205] == (205, 0)
