@@ -2,10 +2,10 @@
 
 A text is the set of its word shingles. The least hash of a set under one of many hash functions is equal for
 two sets with the probability of their similarity; ``ROWS`` such minima make the key of a band, and texts with an
-equal band are candidates. With 96 bands of four minima a pair is met with probability 0.998 at a similarity of 0.5, 0.9998 at
+equal band are candidates. With 128 bands of five minima a pair is met with probability 0.983 at a similarity of 0.5, 0.999 at
 0.55 and nearly 1 beyond, whatever the sizes. Candidates are pruned by a parity sketch (each
 shingle flips one bit) whose Hamming distance is a lower bound of the number of differing shingles, and the rest are
-verified exactly on the shingles. ``exact=True`` takes prefixes instead of bands, which no pair can miss: two sets of
+verified exactly on the shingles. ``exact=True``, the default of the functions, takes prefixes instead of bands, which no pair can miss: two sets of
 n and m shingles with a similarity of at least t share c >= t * max(n, m) of them, so the first n - c + 1 of the one
 and m - c + 1 of the other, in any order common to all texts, have one in common. It makes as many candidates
 as texts share seldom shingles, which grows with the square of a collection written from stock phrases.
@@ -30,9 +30,9 @@ from hirelake.sources.tables import table
 SHINGLE = 3
 SIMILARITY = 0.5
 LEAST_WORDS = 25
-BIT_WORDS = 8  # 512 bits
+BIT_WORDS = 4  # 256 bits
 #: Minima of a band, and bands.
-ROWS, BANDS = 4, 96
+ROWS, BANDS = 5, 128
 #: Groups of texts with one key up to this size give their pairs in place; larger ones in blocks of so many texts.
 IN_PLACE = 1024
 #: Keys in a part, about: 8 bytes each.
@@ -158,7 +158,7 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         doc, h = _batch_shingles(batch, k)
         n = np.bincount(doc, minlength=len(ids))
         bits = np.zeros((len(ids), BIT_WORDS), np.uint64)
-        np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(3) & np.uint64(63)))
+        np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(2) & np.uint64(63)))
         bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
         none = lambda kind, m=len(ids): pa.nulls(m, kind)
         yield pa.RecordBatch.from_arrays([pa.array((_mixed(ids) % np.uint64(parts)).astype(np.int32)), batch.column("ord"), batch.column("id"), pa.array(n.astype(np.int32)), bit_lists, none(pa.binary())], names=["part", "ord", "id", "n", "bits", "keys"])
@@ -173,11 +173,24 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         order = np.lexsort((packed, part))
         part, packed = part[order], packed[order]
         start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.r_[start, len(part)].astype(np.int32) * np.int32(8)), pa.py_buffer(packed)])
+        blobs = pa.array([_folded(x) for x in np.split(packed, start[1:])] if len(part) else [], pa.binary())
         m = len(start)
         yield pa.RecordBatch.from_arrays([pa.array(part[start]), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs], names=["part", "ord", "id", "n", "bits", "keys"])
 
 
+def _folded(x) -> bytes:
+    """Sorted numbers as the bytes of their steps, plane by plane: the upper planes are zeros and compress."""
+    import numpy as np
+
+    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unfolded(data: bytes):
+    import numpy as np
+
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def _pairs(of, run, longest: int) -> Iterator:
     """All pairs within runs of equal ``run``, about a million at a time: (first, second), by their distance in the sorted arrays."""
     import numpy as np
@@ -214,22 +227,38 @@ def _meet(batches: Iterator, in_place: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([*(texts.column(c) for c in names[:4]), *(pa.nulls(m, t) for t in (pa.int64(),) * 3), pa.nulls(m, pa.binary())], names=names)
         kept = batch.filter(keys.is_valid())
         for part, data in zip(kept.column("part").to_pylist(), kept.column("keys"), strict=True):
-            blobs.setdefault(part, []).append(np.frombuffer(data.as_py(), np.uint64))
+            blobs.setdefault(part, []).append(_unfolded(data.as_py()))
     bit_type = pa.list_(pa.int64())
+    seen: list = []  # pairs of this task, each once as far as memory allows
+
+    def once(least: int):
+        if sum(len(x) for x, _ in seen) < least:
+            return
+        a, b = (np.concatenate([x[i] for x in seen]) for i in (0, 1))
+        seen.clear()
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        for i in range(0, int(new.sum()), 1 << 20):
+            x, y = a[new][i : i + (1 << 20)], b[new][i : i + (1 << 20)]
+            m = len(x)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type)), pa.array(x), pa.array(y), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+
     for part, arrays in blobs.items():
         packed = np.unique(np.concatenate(arrays))  # copies meet here
         key, ids = packed >> np.uint64(ID_BITS), (packed & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         light = np.repeat((size > 1) & (size <= in_place), size)
-        for x, y in _pairs(ids[light], key[light], in_place):
-            m = len(x)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type)), pa.array(x), pa.array(y), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+        for pair in _pairs(ids[light], key[light], in_place):
+            seen.append(pair)
+            yield from once(1 << 22)
         for s, m in zip(start[size > in_place], size[size > in_place], strict=True):
             blocks = [ids[s + i : s + min(m, i + in_place)].tobytes() for i in range(0, m, in_place)]
             w = len(blocks)
             heavy = np.full(w, int(part) << KEY_BITS | int(key[s]), np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(w, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type, pa.int64(), pa.int64())), pa.array(heavy), pa.array(blocks, pa.binary())], names=names)
+    yield from once(1)
 
 
 def _across(batches: Iterator) -> Iterator:
@@ -247,7 +276,7 @@ def _across(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["a", "b"])
 
 
-def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """``FOUND`` rows of each text with enough words: (ord, id, n, bits), where ``id`` hashes its words, so copies share it; and
     beside them the pairs (a, b) of short ids of texts with a key in common, and the members of heavy keys."""
     import numpy as np
@@ -298,16 +327,19 @@ def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, simil
     if some.count() <= MAX_BROADCAST_IDS:
         some = F.broadcast(some)
     texts = df.select(F.col(order).cast("bigint").alias("ord"), F.col(text).alias("__text")).join(some, "ord")
-    sets = texts.select("id", fenced(words_of(F.col("__text"))).alias("__w")).select("id", shingle_hashes(F.col("__w"), k).alias("shingles"))
+    # words travel as text, which compresses; their shingles are made on the spot
+    words = texts.select("id", F.array_join(words_of(F.col("__text")), " ").alias("words"))
     pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     for side in ("a", "b"):
-        pairs = pairs.join(sets.withColumnsRenamed({"id": f"id_{side}", "shingles": f"s_{side}"}), f"id_{side}")
+        pairs = pairs.join(words.withColumnsRenamed({"id": f"id_{side}", "words": f"w_{side}"}), f"id_{side}")
+    for side in ("a", "b"):
+        pairs = pairs.withColumn(f"w_{side}", fenced(F.split(F.col(f"w_{side}"), " "))).withColumn(f"s_{side}", fenced(shingle_hashes(F.col(f"w_{side}"), k)))
     common = F.size(F.array_intersect("s_a", "s_b"))
     pairs = pairs.withColumn("jaccard", fenced(common / (F.size("s_a") + F.size("s_b") - common)))
     return pairs.where(F.col("jaccard") >= similarity).select("id_a", "id_b", "jaccard")
 
 
-def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = False) -> DataFrame:
+def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = True) -> DataFrame:
     """(ord_a, ord_b), ord_a < ord_b: pairs of rows whose texts are alike, copies included; with ``exact`` certainly all of them,
     else with the probabilities that stand above.
 
@@ -324,7 +356,7 @@ def similar_pairs(df: DataFrame, order: str, text: str, similarity: float = SIMI
     return both.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
 
 
-def similar_classes(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = False) -> DataFrame:
+def similar_classes(df: DataFrame, order: str, text: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, k: int = SHINGLE, exact: bool = True) -> DataFrame:
     """(ord, class_id, n_links): the class of each text with enough words and its links to different texts.
 
     One row for each row of ``df``, so a class that holds a third of all rows is no burden; ``class_id``
@@ -346,9 +378,9 @@ def _texts(spark, sf_dir: str) -> DataFrame:
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
     """(ord_a, ord_b): rows whose descriptions share at least half of their different runs of three words."""
-    return similar_pairs(_texts(spark, sf_dir), "ord", "description_snippet")
+    return similar_pairs(_texts(spark, sf_dir), "ord", "description_snippet", exact=False)
 
 
 def p4_classes(spark, sf_dir: str) -> DataFrame:
     """(ord, class_id, n_links): the near-duplicate class of each description with enough words."""
-    return similar_classes(_texts(spark, sf_dir), "ord", "description_snippet")
+    return similar_classes(_texts(spark, sf_dir), "ord", "description_snippet", exact=False)

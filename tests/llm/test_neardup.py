@@ -74,6 +74,8 @@ def test_exact_way(spark):
     df = spark.createDataFrame([(o, t, "clash", "clash") for o, t in rows], SCHEMA)
     got = [(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text", exact=True).collect()]
     assert set(got) == brute(rows) and len(got) == len(set(got))
+    banded = [(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text", exact=False).collect()]
+    assert set(banded) <= brute(rows) and len(banded) == len(set(banded)) >= 0.99 * len(brute(rows))
 
 
 def test_recall_by_size_and_similarity():
@@ -92,7 +94,7 @@ def test_recall_by_size_and_similarity():
             who, key = N._band_keys(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), n)
             keys = key.reshape(N.BANDS, -1)
             met = (keys[:, 0::2] == keys[:, 1::2]).any(0).mean()
-            assert met >= 0.98, (size, j, met)
+            assert met >= 0.96, (size, j, met)
 
 
 def test_copies_in_a_hot_group(spark):
@@ -100,6 +102,7 @@ def test_copies_in_a_hot_group(spark):
     base = [f"c{j}" for j in range(60)]
     rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join([*base[:-1], f"tail{i}"])) for i in range(40)] + [(200 + i, " ".join(f"x{i}y{j}" for j in range(40))) for i in range(40)]
     df = spark.createDataFrame([(o, t, "", "") for o, t in rows], SCHEMA)
-    assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text").collect()} == brute(rows)
+    for exact in (True, False):
+        assert {(r.ord_a, r.ord_b) for r in N.similar_pairs(df, "ord", "text", exact=exact).collect()} == brute(rows)
     classes = {r.ord: (r.class_id, r.n_links) for r in N.similar_classes(df, "ord", "text").collect()}
     assert {classes[o] for o in range(40)} == {(0, 40)} and {classes[100 + i] for i in range(40)} == {(0, 40)} and classes[205] == (205, 0)
