@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from hirelake.functions import text as T
 
 # Title words that do not suit a candidate, by level of the candidate.
-HIGH = "senior sr staff lead principal director head vp vice president distinguished fellow manager architect cto cio cso founding".split()
-LOW = "intern internship placement apprentice trainee".split()
+_UPPER = (
+    "senior", "sr", "staff", "lead", "principal", "director", "head", "vp", "vice", "president", "distinguished", "fellow", "manager", "architect", "cto", "cio", "cso", "founding",
+)
+_TRAINEE = ("intern", "internship", "placement", "apprentice", "trainee")
 REJECTED = {
-    "intern": [*HIGH, "ii", "iii", "iv", "v"],
-    "new_grad": [*HIGH, "ii", "iii", "iv", "v"],
-    "junior": [*HIGH, "iii", "iv", "v"],
-    "mid": ["staff", "principal", "director", "vp", "vice", "head", "distinguished", "fellow", "cto", "cio", "cso", "iv", "v", *LOW, "i"],
-    "senior": [*LOW, "junior", "jr", "associate", "entry", "i", "ii"],
-    "lead": [*LOW, "junior", "jr", "associate", "entry", "i", "ii"],
+    "intern": (*_UPPER, "ii", "iii", "iv", "v"),
+    "new_grad": (*_UPPER, "ii", "iii", "iv", "v"),
+    "junior": (*_UPPER, "iii", "iv", "v"),
+    "mid": ("staff", "principal", "director", "vp", "vice", "head", "distinguished", "fellow", "cto", "cio", "cso", "iv", "v", *_TRAINEE, "i"),
+    "senior": (*_TRAINEE, "junior", "jr", "associate", "entry", "i", "ii"),
+    "lead": (*_TRAINEE, "junior", "jr", "associate", "entry", "i", "ii"),
 }
 MID_PHRASES = ["graduate programme", "graduate program", "entry level"]
 # Phrases of a posting that takes no more applications.
@@ -110,3 +112,13 @@ def chat_model(model_id: Column, name: Column) -> Column:
     """Neither the id nor the name tells of another kind of model; a NULL name is not asked."""
     bad_name = F.coalesce(F.rlike(name, F.lit(f"(?i){'|'.join(NOT_CHAT_NAMES)}")), F.lit(False))
     return ~F.coalesce(F.rlike(model_id, F.lit(f"(?i){'|'.join(NOT_CHAT_IDS)}")), F.lit(False)) & ~bad_name
+
+
+def has_profile(summary: Column, skills: Column) -> Column:
+    """A candidate can be assessed: a summary and at least one skill."""
+    return (F.coalesce(summary, F.lit("")) != "") & (F.coalesce(F.size(skills), F.lit(0)) > 0)
+
+
+def link_state(page: Column) -> Column:
+    """'fetch_failed' for a page without text, 'posting_closed' for one no longer active, else 'ok'."""
+    return F.when(F.coalesce(page, F.lit("")) == "", "fetch_failed").when(inactive_page(page), "posting_closed").otherwise("ok")

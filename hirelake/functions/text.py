@@ -12,6 +12,7 @@ ROLE_STOPWORDS = [
     "engineer", "senior", "junior", "lead", "staff", "graduate", "intern", "associate", "principal", "manager", "director", "developer", "specialist",
     "analyst", "architect", "consultant", "officer", "head", "founding", "and", "or", "the", "of", "in", "at", "ii", "iii", "i",
 ]
+# What splits a title into words, and how a text asks for years of experience.
 TITLE_SPLIT = r"[\s/\-,|@().]+"
 YEARS = r"(?i)(\d+)\+?\s*years?\s*(?:of\s+)?(?:experience|exp\b)"
 # Phrases that announce a closing date, and the shapes of the date.
@@ -21,12 +22,26 @@ DEADLINE_TRIGGERS = [
     r"applications?\s+accepted\s+until", r"submit\s+(?:your\s+)?application\s+by",
 ]
 DEADLINE_DATES = [r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}", r"\d{1,2}\s+\w+\s+\d{4}", r"\w+\s+\d{1,2},?\s+\d{4}"]
+# White space as Unicode has it, as a class for regular expressions of Java and of DuckDB, and as characters.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# Named character references, by what they stand for.
+ENTITIES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•",
+    "hellip": "…", "middot": "·", "euro": "€", "pound": "£", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "eacute": "é", "egrave": "è", "agrave": "à",
+    "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "iacute": "í", "oacute": "ó", "aacute": "á", "uacute": "ú",
+}
 DEADLINE = rf"(?i)(?:{'|'.join(DEADLINE_TRIGGERS)})[\s:–\-]*({'|'.join(DEADLINE_DATES)})"
 
 
+def strip(c: Column) -> Column:
+    """``c`` without outer white space of any kind."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space; outer ones go."""
-    return F.btrim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space of any kind become one space; outer ones go."""
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def company_key(name: Column) -> Column:
@@ -53,8 +68,8 @@ def title_case(c: Column) -> Column:
 
 def clean_location(c: Column, country: str = "Ireland") -> Column:
     """A closing two-letter code becomes ``country``, a lone letter before a comma goes; title case."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r",\s*[A-Z]{2}$", f", {country}")
-    return F.btrim(title_case(F.regexp_replace(c, r",\s*[A-Z](?=,)", "")))
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r",\s*[A-Z]{2}\s*$", f", {country}")
+    return strip(title_case(F.regexp_replace(c, r",\s*[A-Z]\s*(?=,)", "")))
 
 
 def first_word(c: Column, default: str) -> Column:
@@ -63,17 +78,31 @@ def first_word(c: Column, default: str) -> Column:
 
 def squeeze_lines(c: Column) -> Column:
     """Three or more line ends become two; outer white space goes."""
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def unescaped(c: Column) -> Column:
+    """Character references, by name (``ENTITIES``) or number, as the characters they stand for; others stay. References
+    made by the replacement itself are not read again: ``&amp;`` comes last."""
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(0{0,4}[1-9]\d{0,5});"), F.lit(1)))
+    code = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
+    usable = lambda n: (n.cast("int") <= 0x10FFFF) & ~n.cast("int").between(0xD800, 0xDFFF) & (n.cast("int") != 38)
+    text = F.aggregate(F.filter(numbers, usable), c, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), code(n)))
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), F.replace(F.replace(text, F.lit("&#38;"), F.lit("&amp;")), F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
 def html_text(c: Column) -> Column:
-    """Text of simple HTML: block tags begin a line, other tags go."""
-    return squeeze_lines(F.regexp_replace(F.regexp_replace(c, r"(?i)<(?:p|li|br|h[1-4])\b[^>]*>", "\n"), r"<[^>]+>", ""))
+    """Text of HTML: comments, scripts and styles go, block tags begin a line, other tags go, references are read."""
+    c = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<(?:p|li|br|h[1-4])\b[^>]*>", "\n"), r"</?[a-zA-Z][^>]*>", "")
+    return squeeze_lines(unescaped(c))
 
 
 def present(c: Column) -> Column:
     """Trimmed text; NULL and the literal 'nan' count as missing and give ''."""
-    t = F.btrim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     return F.when(F.lower(t) == "nan", "").otherwise(t)
 
 
@@ -102,14 +131,37 @@ def domain(url: Column) -> Column:
 
 
 def json_in_text(text: Column) -> Column:
-    """The JSON object inside model output: from the first '{' to the last '}', or NULL."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The JSON object inside model output: a code fence goes, then from the first '{' to the last '}'; NULL without one."""
+    bare = F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def repaired_sources(json: Column) -> Column:
-    """A JSON array of names, where an entry may be an object with a 'source'."""
-    items = F.from_json(json, "array<string>")
-    return F.array_distinct(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.source"), x)))
+    """A JSON array of names, where an entry may be an object with a 'source'; NULL gives an empty array, repeats stay."""
+    items = F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+    return F.transform(items, lambda x: F.when(F.startswith(x, F.lit("{")), F.coalesce(F.get_json_object(x, "$.source"), F.lit(""))).otherwise(x))
+
+
+def json_string(c: Column) -> Column:
+    """``c`` as a JSON string of ASCII letters only: others as ``\\u`` and four hexadecimal digits, in pairs beyond them."""
+    text = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, code in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+        text = F.replace(text, F.lit(char), F.lit("\\" + code))
+    wide = F.array_distinct(F.regexp_extract_all(c, F.lit(r"([^\x{20}-\x{7f}\n\r\t\x{8}\f])"), F.lit(1)))
+    hexed = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+    return F.concat(F.lit('"'), F.aggregate(wide, text, lambda t, ch: F.replace(t, ch, hexed(ch))), F.lit('"'))
+
+
+def session_key(roles: Column, location: Column, seniority: Column, sources: list[str]) -> Column:
+    """MD5 of the JSON object of a search with sorted keys: location, roles, seniority and sources; roles and sources sorted.
+    NULL counts as empty; language and limits are no part of it."""
+    names = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, json_string), ", "), F.lit("]"))
+    roles = F.array_sort(F.array_compact(F.coalesce(roles, F.array().cast("array<string>"))))
+    parts = [
+        F.lit('{"location": '), json_string(strip(F.lower(F.coalesce(location, F.lit(""))))), F.lit(', "roles": '), names(roles),
+        F.lit(', "seniority": '), json_string(F.coalesce(seniority, F.lit(""))), F.lit(', "sources": '), names(F.array(*(F.lit(x) for x in sorted(sources)))), F.lit("}"),
+    ]
+    return F.md5(F.concat(*parts))
 
 
 def shortened(c: Column, n: int = 60) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
+from hirelake.operators.dedup import positions
 
 BATCH = 8
 
@@ -24,14 +25,40 @@ def scored(rows: DataFrame, text: str, skills: list[str], years: int) -> DataFra
     return rows.withColumn("score", F.least(F.col("n_matched") * 2 + 2, cap)).withColumn("relevant", (F.col("n_matched") > 0) & (F.col("year_gap") <= 5))
 
 
-def batches(rows: DataFrame, order: str, size: int = BATCH, spread: int = 64) -> DataFrame:
-    """``rows`` with ``batch`` and ``slot`` 1..size: batches of up to ``size`` rows in ``order`` within one of ``spread`` parts.
+def batches(rows: DataFrame, order: str, size: int = BATCH) -> DataFrame:
+    """``rows`` with ``batch`` 0.. and ``slot`` 1..size: by position in ``order``, ``size`` rows a batch."""
+    rows = positions(rows, order, "__pos")
+    return rows.withColumns({"batch": F.floor(F.col("__pos") / size), "slot": F.col("__pos") % size + 1}).drop("__pos")
 
-    Rows are dealt to parts by the hash of ``order``, so batches are formed in parallel.
+
+def padded(asked: DataFrame, results: DataFrame, defaults: dict) -> DataFrame:
+    """``asked`` (batch, slot, ...) with the columns of ``results`` (batch, slot, ...), joined by position in the batch.
+
+    A batch that failed or came back short is filled with ``defaults``; results beyond the batch are cut off.
     """
-    from pyspark.sql import Window
+    out = asked.join(results, ["batch", "slot"], "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def prompt_blocks(rows: DataFrame, title: str, text: str, chars: int = 8000) -> DataFrame:
+    """(batch, n, prompt): the postings of a batch as numbered blocks, texts cut to what a call may hold; at most ``BATCH`` rows each."""
+    block = F.concat(F.lit("["), F.col("slot").cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n<posting>\n"), F.substring(F.coalesce(text, F.lit("")), 1, chars), F.lit("\n</posting>"))
+    blocks = rows.groupBy("batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("slot", block.alias("b")))).alias("bs"))
+    return blocks.select("batch", "n", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("prompt"))
+
+
+def ranked_titles(groups: DataFrame, words: list[str], most: int = 5, spare: int = 2) -> DataFrame:
+    """(place, title, n): the titles a scorer keeps, best first: more of ``words``, then more often seen, then by name.
+
+    ``groups`` (title, n). The scorer is asked for ``most`` + ``spare`` titles, of which the first ``most`` are kept.
+    """
+    hits = F.size(F.array_intersect(F.split(F.col("title"), " "), F.array(*(F.lit(w) for w in words))))
+    best = groups.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), F.desc("n"), "title").limit(most + spare)
+    place = F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("n"), "title"))  # at most ``most`` + ``spare`` rows
+    return best.select(place.cast("bigint").alias("place"), "title", "n").where(F.col("place") <= most)
+
 
-    part = F.pmod(F.xxhash64(order), F.lit(spread))
-    n = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    rows = rows.withColumn("__part", part).withColumn("__n", n)
-    return rows.withColumn("batch", F.concat_ws("-", "__part", F.floor(F.col("__n") / size))).withColumn("slot", F.col("__n") % size + 1).drop("__part", "__n")
+def keywords(roles: Column, terms: Column, n: int = 6) -> Column:
+    """Half role phrases, then half terms, of each at least two."""
+    half = max(n // 2, 2)
+    return F.concat(F.slice(roles, 1, half), F.slice(terms, 1, half))
