@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from hirelake.llm.bytewords import ROW_END, prefix_sums, slices, word_starts
+
 SLOT_BITS = 27  # of the bitmap: 16 MB whatever the input
 BUCKET_BITS = 15  # of a bucket of bitmap_construct_agg
-SLICE = 1 << 20  # bytes of text worked on at once
 START_WORDS = 4
 _FROM, _TO = "123456789。！？\u00a0\t\r\u200b\ufeff”“’‘»«…•·▪◦–", "000000000\x01\x02\x03     \"\"''\"\"\x05*****"
-_ROW_END = 4
-_U = (1 << 64) - 1
 
 
 def flat(text: Column) -> Column:
@@ -38,24 +37,8 @@ def _tables():
     import numpy as np
 
     is_in = lambda xs: np.isin(np.arange(256), list(xs))
-    z = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    value = z ^ z >> np.uint64(27)
     closers = [*b".!?\"')]:", 1, 2, 3, 5]
-    return value, is_in([32, 10, _ROW_END]), is_in(range(0xE4, 0xEA)), is_in(closers), is_in(b".!?"), is_in([1, 2, 3])
-
-
-_POWER, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_powers: list = []
-
-
-def _power_tables(n: int):
-    import numpy as np
-
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + (SLICE >> 1))
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)]) for base in (_POWER, _INVERSE)]
-    return _powers
+    return is_in(closers), is_in(b".!?"), is_in([1, 2, 3])
 
 
 def _mix(k):
@@ -66,17 +49,13 @@ def _mix(k):
 
 
 class _Scan:
-    """Words, sentences and hashes of a buffer of texts, each closed by the byte ``_ROW_END``."""
+    """Words, sentences and hashes of a buffer of texts, each closed by the byte ``ROW_END``."""
 
     def __init__(self, b) -> None:
         import numpy as np
 
-        value, is_sep, is_han, is_closer, is_mark, is_wide_mark = _tables()
-        power, inverse = _power_tables(len(b))
-        sep, han = is_sep[b], is_han[b]
-        begins = np.r_[True, sep[:-1]] | han
-        begins[3:] |= han[:-3]
-        begins &= ~sep
+        is_closer, is_mark, is_wide_mark = _tables()
+        begins, sep = word_starts(b)
         at = np.flatnonzero(begins)  # first byte of each word
         self.place = np.flatnonzero(~sep)
         self.word = (np.cumsum(begins)[self.place] - 1).astype(np.int32)
@@ -84,15 +63,13 @@ class _Scan:
         end = at + size - 1
         own = np.cumsum(size) - size  # where the places of a word begin
         # sentences
-        lines, rows = np.cumsum(b == 10, dtype=np.int32), np.cumsum(b == _ROW_END, dtype=np.int32)
+        lines, rows = np.cumsum(b == 10, dtype=np.int32), np.cumsum(b == ROW_END, dtype=np.int32)
         last = b[end]
         row_over = rows[at[1:]] > rows[end[:-1]]
         over = row_over | (lines[at[1:]] > lines[end[:-1]]) | is_mark[last[:-1]] & (at[1:] > end[:-1] + 1) | is_wide_mark[last[:-1]]
         first, self.closes, self.ends_row = np.r_[True, over], np.r_[over, True], np.r_[row_over, True]
         # hash of each word up to each of its places
-        sums = np.cumsum(value[b] * power[: len(b)])
-        before = np.where(at > 0, sums[at - 1], np.uint64(0))
-        scale = inverse[at]
+        sums, before, scale = prefix_sums(b, at)
         self.hash = (sums[self.place] - before[self.word]) * scale[self.word]
         # the word without closing marks and quotes, and whether there was a closing mark
         closer = is_closer[b[self.place]]
@@ -127,24 +104,6 @@ class _Scan:
         return _mix(context[word] + h * np.uint64(0x27D4EB2F165667C5))
 
 
-def _slices(column) -> Iterator:
-    """(first row, number of rows, bytes) of about ``SLICE`` bytes of texts, each closed by ``_ROW_END``."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    if not len(column):
-        return
-    joined = pc.binary_join_element_wise(pc.cast(column, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(chr(_ROW_END), pa.large_string()))
-    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    data = np.frombuffer(joined.buffers()[2], np.uint8)
-    row = 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
-        yield row, stop - row, data[offsets[row] : offsets[stop]]
-        row = stop
-
-
 def asked_keys(rows: DataFrame, last: str) -> DataFrame:
     """``rows`` with key_two, key_one (the last word behind its two words, its one word) and key_start (the first words;
     NULL below four) of the flat sentence in ``last``, which holds a word."""
@@ -159,12 +118,12 @@ def asked_keys(rows: DataFrame, last: str) -> DataFrame:
         for batch in batches:
             two, one, start = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             has_start = np.zeros(batch.num_rows, bool)
-            for row, _, b in _slices(batch.column(batch.schema.get_field_index(last))):
+            for row, _, b in slices(batch.column(batch.schema.get_field_index(last))):
                 s = _Scan(b)
                 final = np.flatnonzero(s.ends_row)
-                at = row + np.cumsum(b == _ROW_END)[s.core[final]]  # texts without a word keep 0
+                at = row + np.cumsum(b == ROW_END)[s.core[final]]  # texts without a word keep 0
                 two[at], one[at] = (s.keys(c, final, s.stem[final]).view(np.int64) for c in (s.two, s.one))
-                from_row = row + np.cumsum(b == _ROW_END)[s.core[s.fourth]]
+                from_row = row + np.cumsum(b == ROW_END)[s.core[s.fourth]]
                 start[from_row[::-1]], has_start[from_row] = s.start_keys.view(np.int64)[::-1], True
             made = [pa.array(two), pa.array(one), pa.array(start, mask=~has_start)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "key_two", "key_one", "key_start"])
@@ -209,7 +168,7 @@ def evidence(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
 
         for batch in batches:
             on, ends = [], []
-            for _, _, b in _slices(batch.column(0).drop_null()):
+            for _, _, b in slices(batch.column(0).drop_null()):
                 s = _Scan(b)
                 silent = s.ends_row & ~s.closed
                 for context in (s.two, s.one):
