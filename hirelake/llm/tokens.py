@@ -79,6 +79,16 @@ class PairTable:
         return rank, merged
 
 
+def understood(said: dict, path: str) -> None:
+    """Refuses a vocabulary file that asks for anything but byte-level merges as they are done here."""
+    model, before = said.get("model") or {}, said.get("pre_tokenizer") or {}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    asked = {k: model.get(k) or v for k, v in plain.items()}
+    fits = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if asked != plain or said.get("normalizer") or not fits or set(byte_letters()) - set(model.get("vocab") or ()):
+        raise ValueError(f"{path} is no byte-level vocabulary with the known pattern: normalizer {said.get('normalizer')}, pre-tokenizer {before}, model {asked}")
+
+
 class Encoder:
     """A byte-level vocabulary file, without special tokens."""
 
@@ -87,7 +97,9 @@ class Encoder:
         import regex
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            said = json.load(f)
+        understood(said, path)
+        model = said["model"]
         vocab, letters = model["vocab"], byte_letters()
         self.of_byte = np.zeros(256, np.int32)
         for letter, b in letters.items():
@@ -95,7 +107,12 @@ class Encoder:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
         merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.table = PairTable(left, right, np.arange(len(pairs), dtype=np.int32), merged)
+        ranks = np.arange(len(pairs), dtype=np.int32)
+        self.table = PairTable(left, right, ranks, merged)
+        # the last merge that makes each id; where all pairs with the id come later, merging makes only pairs of higher rank
+        made = np.full(max(vocab.values()) + 1, -1, np.int64)
+        np.maximum.at(made, merged, ranks)
+        self.rising = bool((np.maximum(made[left], made[right]) < ranks).all())
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -165,7 +182,7 @@ class Encoder:
         return done
 
     def _merge_long(self, ids) -> tuple[int, ...]:
-        """One long piece. Merging a pair makes only pairs of higher rank, so all its occurrences go at once."""
+        """One long piece. Where merging a pair makes only pairs of higher rank, all its occurrences go at once, else the leftmost."""
         import numpy as np
 
         while len(ids) > 1:
@@ -178,6 +195,8 @@ class Encoder:
                 run = np.r_[0, np.cumsum(np.diff(at) != 1)]
                 first = at[np.searchsorted(run, run)]
                 at = at[(at - first) % 2 == 0]
+            if not self.rising:
+                at = at[:1]
             ids[at] = to[at]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False

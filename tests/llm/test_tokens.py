@@ -39,3 +39,18 @@ def test_frame(spark, library):
     assert got == [(1, library("two words"))] * 2 + [(2, []), (3, [])]
     assert sorted((r.doc_id, r.n_tokens) for r in encoded(df, "doc_id", "text", PATH, counts_only=True).collect()) == [(1, 2), (1, 2), (2, 0), (3, 0)]
     assert encoded(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    from hirelake.llm.tokens import DEFAULT_DIR, Encoder
+
+    said = json.load(open(f"{DEFAULT_DIR}/byte_bpe_50k.json", encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": said["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": said["model"] | {"ignore_merges": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(said | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            Encoder(str(tmp_path / "v.json"))
+    assert Encoder(f"{DEFAULT_DIR}/byte_bpe_50k.json").rising
