@@ -11,6 +11,8 @@ def queries() -> dict:
         "p1_rates": truncation.p1_rates,
         "p1_limits": truncation.p1_limits,
         "p2_found": canonical.p2_found,
+        "p2_candidates": canonical.p2_candidates,
+        "p2_unmatched": canonical.p2_unmatched,
         "p3_found": survivorship.p3_found,
         "p3_survivors": survivorship.p3_survivors,
         "p4_found": neardup.p4_found,

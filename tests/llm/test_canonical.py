@@ -59,3 +59,25 @@ def test_frame(spark):
     assert C.with_reference(rows.limit(0), "v", exact, C.place_matcher, PLACES).count() == 0
     with pytest.raises(ValueError):
         C.map_distinct(rows, "v", C.place_matcher, [None] * (C.MAX_ENTRIES + 1))
+
+
+def test_pieces_give_the_same_answers(spark):
+    values = ["Mt. Calloway; United States", "27 Ashgrove (US)", "Ashgrove", "ASHGORVE 12, B, GB", "fürhtenau", "Ashgrove, Fürthenau", "North Fermoyle, Spain", "nowhere", None, " "]
+    rows = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)], "id int, v string, rank string")
+    one = {r.value: r.ref_id for r in C.mapped(rows, "v", C.place_candidates, [PLACES]).collect()}
+    assert one == {v: C.place_matcher(PLACES)(v) for v in values if v and v.strip()}
+    for n in (2, 5):
+        assert {r.value: r.ref_id for r in C.mapped(rows, "v", C.place_candidates, [PLACES[i::n] for i in range(n)]).collect()} == one
+    df = spark.createDataFrame(PLACES, "place_id int, town string, country_code string")
+    assert sorted(x for p in C.in_pieces(df, 2) for x in p) == sorted(PLACES) and len(C.in_pieces(df, 2)) == 3
+
+
+def test_all_entries_within_the_distance():
+    find = C.place_candidates(PLACES, everything=True)
+    assert {(i, d, fits) for i, d, _, fits in find("Ashgrove, UK")} == {(2, 0, True), (3, 0, False)}
+    assert C.place_candidates([(1, "Ashgrove", "GB"), (2, "Ashgrave", "GB")], everything=True)("Ashgrove") in ([(1, 0, 1, True), (2, 1, 1001, True)], [(2, 1, 1001, True), (1, 0, 1, True)])
+
+
+def test_own_words_as_parameters():
+    assert C.role_matcher([(1, "Zoo Keeper")], short={"keeper": "kpr"}, levels={"boss"})("Boss Zoo Kpr") == 1
+    assert C.place_matcher([(1, "Lake Ost", "XX"), (2, "Lake Ost", "YY")], short={"lake": "lk"}, countries={"XX": ["exland"]})("Lk Ost, Exland") == 1
