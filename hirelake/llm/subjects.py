@@ -39,7 +39,7 @@ LABEL_WEIGHT, SEED_WEIGHT, KIND_DAMPING, EXCESS = 5.0, 0.3, 0.2, 1.5
 #: A subject counts from this share of the subject terms; a document has subjects from this share of its terms.
 LEAST_MIX, LEAST_MASS = 0.22, 0.03
 #: Documents of like length that are factored side by side.
-ABREAST = 256
+ABREAST = 32
 
 
 def _mixed(x):
@@ -113,9 +113,11 @@ def _term_sums(blocks: DataFrame, add, width: int, n_lang: int):
                 add(of, batch, i)
         for lang, s in sums.items():
             used = np.flatnonzero(s.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), *(pa.array(s[used, k]) for k in range(width))], names=["lang", "term", *cols])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), *(pa.array(s[used, k].astype(np.float32)) for k in range(width))], names=["lang", "term", *cols])
 
-    partial = blocks.mapInArrow(run, "lang int, term int, " + ", ".join(f"{c} double" for c in cols))
+    # as many tasks as cores at most: each hands on its sums once
+    few = blocks.coalesce(max(8, blocks.sparkSession.sparkContext.defaultParallelism))
+    partial = few.mapInArrow(run, "lang int, term int, " + ", ".join(f"{c} float" for c in cols))
     return partial.groupBy("lang", "term").agg(*(F.sum(c).cast("float").alias(c) for c in cols)).toPandas()
 
 
@@ -146,9 +148,9 @@ def _padded(model: _Model, lang: int, sizes, idx, cnt) -> Iterator:
     none = len(model.H[lang]) - 1
     at = 0
     while at < len(order):
-        # a matrix holds at most about as many numbers as its longest document or 64,000 need
+        # a matrix stays in the cache: about as many numbers as its longest document or 16,000 need
         stop = min(at + ABREAST, len(order))
-        while stop - at > 1 and (stop - at) * n[order[stop - 1]] > 64_000:
+        while stop - at > 1 and (stop - at) * n[order[stop - 1]] > 16_000:
             stop = at + (stop - at) // 2
         d = order[at:stop]
         width = n[d[-1]]
@@ -174,6 +176,18 @@ def _em(Hn, cnt, mask, inner: int, settled: float = 0.0):
     return W
 
 
+def _gather(s, terms: list, parts: list) -> None:
+    """Adds the parts of all terms to their rows of ``s``, and empties the lists."""
+    import numpy as np
+
+    if terms:
+        t, p = np.concatenate(terms), np.concatenate(parts)
+        for k in range(p.shape[1]):
+            s[:, k] += np.bincount(t, p[:, k], len(s))
+        terms.clear()
+        parts.clear()
+
+
 def _round(blocks: DataFrame, model: _Model, labels: dict) -> list:
     """One alternating update of H: for each language the sums over the components from all documents."""
     import numpy as np
@@ -188,6 +202,7 @@ def _round(blocks: DataFrame, model: _Model, labels: dict) -> list:
         H = m.H[lang]
         s = of(lang, len(H))
         keys = batch.column("keys")[i].as_py()
+        terms, parts, held = [], [], 0
         for d, t, c in _padded(m, lang, *_unpacked(batch, i)):
             mask, weight = np.ones((len(d), H.shape[1]), np.float32), np.ones(len(d), np.float32)
             for r, j in enumerate(d):
@@ -198,10 +213,14 @@ def _round(blocks: DataFrame, model: _Model, labels: dict) -> list:
             Hn = H[t]
             W = _em(Hn, c, mask, INNER)
             q = weight[:, None] * c / np.maximum(np.matmul(Hn, W[:, :, None])[:, :, 0], 1e-12)
-            part = (Hn * W[:, None, :] * q[:, :, None]).reshape(-1, H.shape[1])
-            flat = t.reshape(-1)
-            for k in range(H.shape[1]):
-                s[:, k] += np.bincount(flat, part[:, k], len(H))
+            real = c.reshape(-1) > 0
+            terms.append(t.reshape(-1)[real])
+            parts.append((Hn * W[:, None, :] * q[:, :, None]).reshape(-1, H.shape[1])[real])
+            held += len(terms[-1])
+            if held > 400_000:
+                _gather(s, terms, parts)
+                held = 0
+        _gather(s, terms, parts)
 
     total = _term_sums(blocks, add, width, len(model.H))
     shared.destroy()
