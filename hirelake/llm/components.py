@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.session import cut
@@ -22,14 +22,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         # large star: every neighbour above the node goes to the least of the node and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # minima combine before the shuffle, so the centre of a star that holds a third of all nodes is no burden
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the node and its neighbours below it go to the least of them
-        w = Window.partitionBy("u")
-        small = large.withColumn("m", F.min("v").over(w))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         e = cut(e)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # the edges as a set: their number and two combinations of different hashes of them
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
         if state == before:
             break
         before = state

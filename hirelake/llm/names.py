@@ -57,7 +57,7 @@ NICKNAMES = {
 }
 
 
-def _one_name() -> dict[str, str]:
+def _one_name(nicknames: dict[str, str]) -> dict[str, str]:
     """Every full or short first name to one representative; names that share a short form are one."""
     root: dict[str, str] = {}
 
@@ -66,30 +66,31 @@ def _one_name() -> dict[str, str]:
             x = root[x]
         return x
 
-    for full, shorts in NICKNAMES.items():
+    for full, shorts in nicknames.items():
         for s in shorts.split():
             # the longest name leads, so that a typing error in it stays near
             first, second = sorted((find(full), find(s)), key=lambda x: (-len(x), x))
             root[second] = first
-    return {x: find(x) for x in {*NICKNAMES, *(s for v in NICKNAMES.values() for s in v.split())}}
+    return {x: find(x) for x in {*nicknames, *(s for v in nicknames.values() for s in v.split())}}
 
 
 class Parser:
     """Splits spellings into (core words, line of business, all words, acronym, first or last word cut short)."""
 
-    def __init__(self) -> None:
-        self.trade = {w: full for full, shorts in TRADES.items() for w in [full, *shorts.split()]}
-        self.names = _one_name()
+    def __init__(self, trades: dict[str, str] = TRADES, legal: set[str] = LEGAL, nicknames: dict[str, str] = NICKNAMES, no_name: set[str] = NO_NAME) -> None:
+        self.legal, self.no_name = legal, no_name
+        self.trade = {w: full for full, shorts in trades.items() for w in [full, *shorts.split()]}
+        self.names = _one_name(nicknames)
         self.near = Trie()
         self.ids: list[str] = []
-        for w in [*TRADES, "pharmaceuticals", "limited", "incorporated", "corporation", "company"]:
+        for w in [*trades, "pharmaceuticals", "limited", "incorporated", "corporation", "company"]:
             if len(w) >= 5:
                 self.near.add(w, len(self.ids))
                 self.ids.append(self.trade.get(w, "*legal"))
 
     def _kind(self, w: str) -> str:
         """The trade a word stands for, '*legal', or '' for a word of the name; one typing error is forgiven."""
-        if w in LEGAL:
+        if w in self.legal:
             return "*legal"
         if w in self.trade:
             return self.trade[w]
@@ -102,7 +103,7 @@ class Parser:
             return None
         text = unicodedata.normalize("NFKD", NOTES.sub(" ", value).replace("ß", "ss").lower())
         text = "".join(c for c in text if not unicodedata.combining(c))
-        if " ".join(re.findall(r"\w+", text)) in NO_NAME:
+        if " ".join(re.findall(r"\w+", text)) in self.no_name:
             return None
         text = re.sub(r"\b(?:\w\.\s?){2,}(?:\w\b)?", lambda m: re.sub(r"[.\s]", "", m[0]) + " ", text)  # Q.S.P. and S.A.
         found = re.findall(r"([^\W_]+(?:['’][^\W_]+)?)(\.?)", text)
@@ -125,13 +126,13 @@ class Parser:
 PARSED = "name string, tokens array<string>, trade string, words array<string>, acronym string, short_at int"
 
 
-def parsed_names(values: DataFrame, column: str) -> DataFrame:
-    """One row of ``PARSED`` for each distinct spelling that names an organisation."""
+def parsed_names(values: DataFrame, column: str, **words) -> DataFrame:
+    """One row of ``PARSED`` for each distinct spelling that names an organisation; ``words`` are the lists of :class:`Parser`."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        parse = Parser()
+        parse = Parser(**words)
         for pdf in batches:
             rows = [(v, *p) for v in pdf["name"] if (p := parse(v))]
             yield pd.DataFrame(rows, columns=["name", "tokens", "trade", "words", "acronym", "short_at"])
@@ -180,20 +181,21 @@ def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS, bri
     return pairs.where(near).select("id_a", "id_b").distinct()
 
 
-def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS) -> DataFrame:
+def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS, **words) -> DataFrame:
     """(name, entity) for each distinct spelling in ``column`` that names an organisation.
 
-    ``entity`` numbers the organisation and is the same for linked spellings. NULL, blank and stand-in
+    ``entity`` numbers the organisation and is the same for linked spellings. The lists of trades, legal forms, nicknames and
+    stand-ins are parameters (``words``, as of :class:`Parser`). NULL, blank and stand-in
     values are left out. Repeated rows count once; an empty table gives no rows.
     """
-    p = parsed_names(values, column)
+    p = parsed_names(values, column, **words)
     core = F.array_join(F.array_sort("tokens"), " ")
     p = cut(p.withColumn("id", F.xxhash64(core, F.col("trade"))))
     nodes = p.groupBy("id").agg(F.first(F.struct("tokens", "trade")).alias("x")).select("id", "x.tokens", "x.trade")
     nodes = nodes.withColumn("s", F.array_join("tokens", ""))
     n = F.size("tokens")
     turn = lambda i: F.concat(F.slice("tokens", i + 1, n - i), F.slice("tokens", 1, i))
-    turned = nodes.select("id", "trade", F.explode(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(6)) - 1), lambda i: F.array_join(turn(i), ""))).alias("s"))
+    turned = nodes.select("id", "trade", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(turn(i), ""))).alias("s"))
     fuzzy = F.length("s") >= LEAST_FUZZY
     near = segment_pairs(turned.where(fuzzy), nodes.where(fuzzy).select("id", "s", "trade"), k)
     brief = F.length("s").between(LEAST_EDIT, LEAST_FUZZY)  # the longest may pair with one that is a letter shorter
