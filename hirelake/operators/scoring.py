@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
 from hirelake.operators.dedup import positions
+from hirelake.session import cut
 
 BATCH = 8
 
@@ -62,3 +65,42 @@ def keywords(roles: Column, terms: Column, n: int = 6) -> Column:
     """Half role phrases, then half terms, of each at least two."""
     half = max(n // 2, 2)
     return F.concat(F.slice(roles, 1, half), F.slice(terms, 1, half))
+
+
+RESULT = "batch bigint, slot int, relevant boolean, reason string, score int, matched_keywords array<string>"
+DEFAULT = {"relevant": True, "reason": "kept: no assessment", "score": 0}
+
+
+def assessed_by(call: Callable[[list[tuple[str, str]]], list[dict]], rows: DataFrame, order: str, title: str, text: str, chars: int = 8000) -> DataFrame:
+    """``rows`` with batch, slot, relevant, reason, score and matched_keywords by a model behind ``call``.
+
+    ``call`` gets up to ``BATCH`` (title, text) pairs and returns one result for each, in order. A batch whose call fails is kept as
+    relevant with a score of 0; a short answer is filled likewise, a long one cut.
+    """
+    asked = cut(batches(rows, order))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("slot")
+        try:
+            found = call([(t or "", (x or "")[:chars]) for t, x in zip(pdf["title"], pdf["text"], strict=True)])
+        except Exception:  # noqa: BLE001 - a failed batch is kept
+            found = []
+        out = [(int(b), int(s), r.get("relevant"), r.get("reason"), r.get("score"), list(r.get("matched_keywords") or [])) for b, s, r in zip(pdf["batch"], pdf["slot"], found, strict=False)]
+        return pd.DataFrame(out, columns=["batch", "slot", "relevant", "reason", "score", "matched_keywords"])
+
+    small = asked.select("batch", "slot", F.col(title).alias("title"), F.col(text).alias("text"))
+    return padded(asked, small.groupBy("batch").applyInPandas(run, RESULT), DEFAULT)
+
+
+def kept_cards(rows: DataFrame, key: str, scores: Callable[[DataFrame], DataFrame] | None, least: float = 0.6) -> DataFrame:
+    """The rows whose card scores at least ``least``: ``scores`` gives (key, score). Rows it does not name go, unknown keys are
+    ignored; without a scorer, or if it fails, all rows stay."""
+    if scores is None:
+        return rows
+    try:
+        passing = cut(scores(rows).where(F.col("score") >= least).select(key))
+    except Exception:  # noqa: BLE001 - a filter that fails filters nothing
+        return rows
+    return rows.join(passing, key, "left_semi")

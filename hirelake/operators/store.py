@@ -12,7 +12,7 @@ from hirelake.operators.dedup import first_per, positions
 
 def first_write_wins(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Insert if absent: the old row of a key stays; of several new ones the first by ``order``."""
-    return old.unionByName(first_per(new.join(old.select(key), key, "left_anti"), [key], order))
+    return old.unionByName(first_per(new.join(old.select(key), key, "left_anti"), [key], order).select(*old.columns))
 
 
 def last_write_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -107,9 +107,9 @@ def normalised_jobs(rows: DataFrame) -> DataFrame:
     domain = T.domain(F.col("url"))
     sources = F.when(F.size(F.coalesce("sources", empty)) > 0, F.col("sources")).when(domain != "", F.array(domain)).otherwise(empty)
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "company", "location", "url", "description", "date_posted")}).withColumn("sources", sources)
-    kind = rows.schema["raw_sources"].dataType
+    kind = "array<struct<source: string, url: string, date_posted: string>>"
     entry = F.array(F.struct(F.get("sources", F.lit(0)).alias("source"), F.col("url"), F.col("date_posted"))).cast(kind)
-    have = F.coalesce("raw_sources", F.array().cast(kind))
+    have = F.coalesce(F.col("raw_sources").cast(kind), F.array().cast(kind))
     rows = rows.withColumn("raw_sources", F.when((F.size(have) == 0) & (F.size("sources") > 0), entry).otherwise(have))
     return rows.withColumns({"is_complete": F.coalesce("is_complete", F.lit(True)), "dedup_key": T.posting_key(F.col("company"), F.col("title"))})
 

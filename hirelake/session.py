@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="hirelake-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(shared)
 
 
