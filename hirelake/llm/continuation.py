@@ -23,21 +23,61 @@ from hirelake.llm.bytewords import ROW_END, prefix_sums, slices, word_starts
 SLOT_BITS = 27  # of the bitmap: 16 MB whatever the input
 BUCKET_BITS = 15  # of a bucket of bitmap_construct_agg
 START_WORDS = 4
-_FROM, _TO = "123456789。！？\u00a0\t\r\u200b\ufeff”“’‘»«…•·▪◦–", "000000000\x01\x02\x03     \"\"''\"\"\x05*****"
+_DOTS = 5
+# Characters of several bytes, and the byte that stands for them: closing marks of wide scripts and the ellipsis by
+# bytes of their own, quotes, bullets and blanks by plain ones.
+_WIDE = {
+    "。": 1, "！": 2, "？": 3, "…": _DOTS, "”": ord('"'), "“": ord('"'), "»": ord('"'), "«": ord('"'), "’": ord("'"), "‘": ord("'"),
+    "•": ord("*"), "·": ord("*"), "▪": ord("*"), "◦": ord("*"), "–": ord("*"), "\u00a0": 32, "\u200b": 32, "\ufeff": 32,
+}
 
 
 def flat(text: Column) -> Column:
-    """Lower case, digits as 0, line ends for ``<br>``, marks of one byte for the closing marks of wide scripts."""
-    t = F.translate(F.lower(text), _FROM, _TO)
+    """Lower case, line ends for ``<br>``; the rest is done on bytes by :func:`_plain`."""
+    t = F.lower(text)
     return F.when(F.contains(t, F.lit("<br")), F.regexp_replace(t, r" *<br *\/?> *", "\n")).otherwise(t)
 
 
+@cache
+def _bytes():
+    """The byte for each single byte: digits as 0, blanks as a space; and the characters of ``_WIDE`` by their length."""
+    import numpy as np
+
+    plain = np.arange(256, dtype=np.uint8)
+    plain[49:58] = 48
+    plain[[9, 13]] = 32
+    return plain, [(np.frombuffer(c.encode(), np.uint8), to) for c, to in _WIDE.items()]
+
+
+def _plain(b):
+    """A buffer of flat texts with single bytes for the characters of ``_WIDE`` and all digits alike."""
+    import numpy as np
+
+    plain, wide = _bytes()
+    b = plain[b]
+    leads = np.flatnonzero((b == 0xE2) | (b == 0xC2) | (b == 0xE3) | (b == 0xEF))
+    leads = leads[leads < len(b) - 2]
+    if not len(leads):
+        return b
+    drop = np.zeros(len(b), bool)
+    first, second, third = b[leads], b[leads + 1], b[leads + 2]
+    for code, to in wide:
+        hit = (first == code[0]) & (second == code[1])
+        if len(code) == 3:
+            hit &= third == code[2]
+        at = leads[hit]
+        b[at] = to
+        for k in range(1, len(code)):
+            drop[at + k] = True
+    return b[~drop] if drop.any() else b
+
+
 @cache
 def _tables():
     import numpy as np
 
     is_in = lambda xs: np.isin(np.arange(256), list(xs))
-    closers = [*b".!?\"')]:", 1, 2, 3, 5]
+    closers = [*b".!?\"')]:", 1, 2, 3, _DOTS]
     return is_in(closers), is_in(b".!?"), is_in([1, 2, 3])
 
 
@@ -54,6 +94,7 @@ class _Scan:
     def __init__(self, b) -> None:
         import numpy as np
 
+        self.bytes = b = _plain(b)
         is_closer, is_mark, is_wide_mark = _tables()
         begins, sep = word_starts(b)
         at = np.flatnonzero(begins)  # first byte of each word
@@ -120,6 +161,7 @@ def asked_keys(rows: DataFrame, last: str) -> DataFrame:
             has_start = np.zeros(batch.num_rows, bool)
             for row, _, b in slices(batch.column(batch.schema.get_field_index(last))):
                 s = _Scan(b)
+                b = s.bytes
                 final = np.flatnonzero(s.ends_row)
                 at = row + np.cumsum(b == ROW_END)[s.core[final]]  # texts without a word keep 0
                 two[at], one[at] = (s.keys(c, final, s.stem[final]).view(np.int64) for c in (s.two, s.one))
@@ -170,6 +212,7 @@ def evidence(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
             on, ends = [], []
             for _, _, b in slices(batch.column(0).drop_null()):
                 s = _Scan(b)
+                b = s.bytes
                 silent = s.ends_row & ~s.closed
                 for context in (s.two, s.one):
                     k = s.keys(context, s.word, s.hash)

@@ -24,6 +24,8 @@ FURNITURE = [
     "| terms", "| privacy", "all rights reserved", "back to results", "people viewed this", "wir verwenden cookies", "alle akzeptieren",
     "diesen job teilen", "datenschutz |", "usamos cookies", "compartir este empleo", "nous utilisons des cookies",
 ]
+#: Longer texts are no stand-ins, whatever dots and blanks follow one.
+STAND_IN_CHARS = 200
 MARKUP = r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--|&(?:nbsp|amp|lt|gt|quot|#\d{1,6});"
 
 # Beginnings of furniture that follows a text on its last line, in lower case.
@@ -37,7 +39,10 @@ _TAIL_MARKUP = r"(?iu)(?:</?[a-z][a-z0-9]*(?:\s[^<>\n]*)?/?>|<!--[^\n]*?-->)$"
 ELLIPSIS = r"(?:\.\.\.+|…)"
 #: A marker that only a cut leaves: [...], (more), "See full ad >", a broken last character.
 HARD_MARK = rf"(?iu)(?:\[\s*{ELLIPSIS}\s*\]|(?:{ELLIPSIS}\s*)?[(\[](?:more|read more|show more|mehr|ver más|leer más|lire la suite|更多)[)\]]|(?:{ELLIPSIS}\s*)?(?:see|read|show|view) (?:full|more|the full)\b[^\n.!?]{{0,30}}|(?:{ELLIPSIS}\s*)?(?:read|show) more|weiterlesen|leer más|�)$"
-DOTS = rf"{ELLIPSIS}$"
+#: Each marker of ``HARD_MARK`` holds one of these.
+MARK_PARTS = ["...", "…", "more", "mehr", "más", "suite", "更多", "full", "weiterlesen", "�"]
+#: Characters in which the last end of a sentence mostly lies.
+NEAR_CHARS = 300
 #: The beginning of a tag or of an entity, whose rest is missing.
 BROKEN_MARKUP = r"(?:&(?:#\d{0,6}|n(?:b(?:sp?)?)?|a(?:mp?)?|[lg]t?|q(?:u(?:ot?)?)?)|</?[a-zA-Z][a-zA-Z0-9]{0,10}(?:\s[^<>\n]{0,60})?|<[!/]?)$"
 #: No marker of a cut is longer; endings are matched against so many last characters.
@@ -52,8 +57,9 @@ def rtrim(c: Column) -> Column:
 
 def is_missing(text: Column) -> Column:
     """NULL, blank, without any letter or digit, or a stand-in for a missing description."""
-    core = F.rtrim(F.btrim(F.lower(text), F.lit(WHITE)), F.lit(". "))
-    return F.coalesce(core.isin(*STAND_INS) | ~F.rlike(text, F.lit(r"[\p{L}\p{N}]")), F.lit(True))
+    bare = F.btrim(text, F.lit(WHITE))
+    stand_in = F.when(F.length(bare) <= STAND_IN_CHARS, F.rtrim(F.lower(bare), F.lit(". ")).isin(*STAND_INS)).otherwise(F.lit(False))
+    return F.coalesce(stand_in | ~F.rlike(text, F.lit(r"[\p{L}\p{N}]")), F.lit(True))
 
 
 def _any_of(low: Column, words: list[str]) -> Column:
@@ -77,12 +83,25 @@ def with_body(df: DataFrame, text: str, body: str) -> DataFrame:
     """
     t, low = F.col(body), F.col("__low")
     bare = F.when(F.endswith(t, F.lit(">")), rtrim(F.regexp_replace(t, _TAIL_MARKUP, ""))).otherwise(t)
-    df = df.withColumn(body, fenced(rtrim(F.col(text)))).withColumn(body, fenced(bare)).withColumn("__low", fenced(F.lower(t)))
+    df = df.withColumn(body, fenced(rtrim(F.col(text)))).withColumn(body, fenced(bare))
+    df = df.withColumn("__low", fenced(F.lower(F.substring_index(t, "\n", -1))))  # furniture goes with its own line only
     df = df.withColumn(body, fenced(F.when(_any_of(low, TAILS), rtrim(F.regexp_replace(t, _TAIL, ""))).otherwise(t)))
     return df.withColumn(body, fenced(bare)).drop("__low")
 
 
-def is_cut_mark(text: Column) -> Column:
-    """The text ends in a marker that only a cut leaves, or inside a tag or entity."""
-    tail = F.right(text, F.lit(MARK_CHARS))
-    return F.rlike(tail, F.lit(HARD_MARK)) | F.rlike(tail, F.lit(BROKEN_MARKUP))
+def last_sentence(body: Column) -> Column:
+    """What stands behind the last end of a sentence or line. The last characters are looked at first, the whole text where they hold no end."""
+    near = F.split(F.right(body, F.lit(NEAR_CHARS)), SENTENCE_END)
+    return F.when(F.size(near) > 1, F.try_element_at(near, F.lit(-1))).otherwise(F.try_element_at(F.split(body, SENTENCE_END), F.lit(-1)))
+
+
+def is_cut_mark(tail: Column) -> Column:
+    """``tail``, the last ``MARK_CHARS`` characters of a text, ends in a marker that only a cut leaves, or inside a tag or entity."""
+    hard = F.when(_any_of(F.lower(tail), MARK_PARTS), F.rlike(tail, F.lit(HARD_MARK))).otherwise(F.lit(False))
+    broken = F.when(F.contains(tail, F.lit("<")) | F.contains(tail, F.lit("&")), F.rlike(tail, F.lit(BROKEN_MARKUP))).otherwise(F.lit(False))
+    return hard | broken
+
+
+def is_dots(text: Column) -> Column:
+    """The text ends in an ellipsis."""
+    return F.endswith(text, F.lit("...")) | F.endswith(text, F.lit("…"))

@@ -67,9 +67,9 @@ def features(df: DataFrame, text: str, source: str, keep: list[str]) -> DataFram
     t, body, last, kind = F.col("__text"), F.col("__body"), F.col("__last"), F.col("__kind")
     df = df.select(*keep, F.coalesce(F.col(source), F.lit("unknown")).alias("source"), F.col(text).alias("__text"))
     df = T.with_body(df.withColumns({"n_chars": F.length(t), "__missing": T.is_missing(t)}), "__text", "__body")
-    dots = F.rlike(F.right(body, F.lit(T.MARK_CHARS)), F.lit(T.DOTS))
-    df = df.withColumn("__kind", fenced(F.when(F.col("__missing"), "missing").when(T.is_cut_mark(body), "mark").when(dots, "dots")))
-    df = df.withColumn("__last", fenced(F.try_element_at(F.split(body, T.SENTENCE_END), F.lit(-1))))
+    df = df.withColumn("__tail", fenced(F.right(body, F.lit(T.MARK_CHARS))))
+    df = df.withColumn("__kind", fenced(F.when(F.col("__missing"), "missing").when(T.is_cut_mark(F.col("__tail")), "mark").when(T.is_dots(body), "dots")))
+    df = df.withColumn("__last", fenced(T.last_sentence(body)))
     whole = (last == "") | _closed(last) | F.rlike(last, F.lit(T.LABEL))
     df = df.withColumn("ending", fenced(F.when(kind.isNotNull(), kind).when(F.coalesce(whole, F.lit(True)), "whole").otherwise("open")))
     return df.select(*keep, "source", "n_chars", "ending", F.xxhash64(F.substring("__text", 1, 40)).alias("opening"), F.when(F.col("ending").isin("dots", "open"), flat(last)).alias("last"))
@@ -115,7 +115,7 @@ def truncated(df: DataFrame, text: str, source: str, keep: list[str], formula_sh
     rows = materialised(features(df, text, source, keep))
     hazards = length_hazards(rows.where(F.col("ending") != "missing").select("source", "n_chars")).where("significant").select("source", "n_chars", F.lit(True).alias("at_limit"))
     asked = F.col("ending").isin("dots", "open")
-    open_rows = materialised(asked_keys(rows.where(asked).withColumn("whole_key", F.xxhash64("last")), "last"))
+    open_rows = materialised(asked_keys(rows.where(asked).withColumn("whole_key", F.xxhash64(F.translate("last", "123456789", "000000000"))), "last"))
     # an ellipsis asks for its beginning, another ending for its last words
     keys = F.when(F.col("ending") == "dots", F.array("key_start")).otherwise(F.array("key_two", "key_one"))
     known = materialised(evidence(flat_bodies(df, text), "flat", open_rows.select(F.explode(keys).alias("key"))))
