@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_votes": survivorship.P3_VOTES_SQL}
+    return {"p1_limits": truncation.P1_LIMITS_SQL, "p3_votes": survivorship.P3_VOTES_SQL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.plan import fenced
 
-WHITE = " \t\r\n ​﻿"
+WHITE = " \t\r\n\u00a0\u200b\ufeff"
 
 # What boards write where a description is missing.
 STAND_INS = [

@@ -157,3 +157,24 @@ def p1_limits(spark, sf_dir: str) -> DataFrame:
     rows = _job_cache(spark, sf_dir).where(~T.is_missing(F.col("description_snippet")))
     hazards = length_hazards(rows.select(F.coalesce("board", F.lit("unknown")).alias("source"), F.length("description_snippet").alias("n_chars")))
     return hazards.where("significant").select(F.col("source").alias("board"), "n_chars", "n", "at_risk")
+
+
+def _p1_limits_sql() -> str:
+    """The windows of :func:`length_hazards` for DuckDB; written out, with the same lists of stand-ins and blanks."""
+    blanks = "chr(32) || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)"
+    stand_ins = ", ".join("'" + x.replace("'", "''") + "'" for x in T.STAND_INS)
+    hazard = lambda k: f"(sum(n) OVER (PARTITION BY source ORDER BY n_chars RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) - n + 0.5) / (avg(at_risk) OVER (PARTITION BY source ORDER BY n_chars RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) * {2 * k})"
+    return f"""
+WITH t AS (SELECT coalesce(sources[1], 'unknown') AS source, description_snippet AS d, trim(description_snippet, {blanks}) AS b FROM job_cache WHERE description_snippet IS NOT NULL),
+     l AS (SELECT source, length(d) AS n_chars FROM t WHERE regexp_matches(d, '[\\p{{L}}\\p{{N}}]') AND NOT (length(b) <= {T.STAND_IN_CHARS} AND rtrim(lower(b), '. ') IN ({stand_ins}))),
+     h AS (SELECT source, n_chars, count(*) AS n FROM l GROUP BY 1, 2),
+     r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS at_risk FROM h),
+     z AS (SELECT *, greatest({hazard(NEIGHBOURS)}, {hazard(CLOSE)}) AS hazard FROM r),
+     p AS (SELECT *, CASE WHEN n > at_risk * hazard THEN -(n * ln(n / (at_risk * hazard)) - n + at_risk * hazard) ELSE 0 END AS log_p FROM z),
+     k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY log_p, n_chars) AS rank, count(*) OVER (PARTITION BY source) AS m FROM p),
+     s AS (SELECT *, max(CASE WHEN log_p <= ln({FDR} * rank / m) THEN rank END) OVER (PARTITION BY source) AS last FROM k)
+SELECT source AS board, n_chars, n, at_risk FROM s WHERE rank <= last
+"""
+
+
+P1_LIMITS_SQL = _p1_limits_sql()
