@@ -52,14 +52,17 @@ def slices(column) -> Iterator:
         row = stop
 
 
-def word_starts(b):
+def word_starts(b, split_han: bool = True):
     """(first byte of each word, whether a byte stands between words)."""
     import numpy as np
 
     _, is_sep, is_han = tables()
-    sep, han = is_sep[b], is_han[b]
-    begins = np.r_[True, sep[:-1]] | han
-    begins[3:] |= han[:-3]
+    sep = is_sep[b]
+    begins = np.r_[True, sep[:-1]]
+    if split_han:
+        han = is_han[b]
+        begins |= han
+        begins[3:] |= han[:-3]
     begins &= ~sep
     return begins, sep
 
@@ -74,11 +77,11 @@ def prefix_sums(b, at):
     return sums, np.where(at > 0, sums[at - 1], np.uint64(0)), inverse[at]
 
 
-def word_hashes(b):
-    """(hash, row, is Han) of each word of a buffer of :func:`slices`."""
+def word_hashes(b, split_han: bool = True):
+    """(hash, row, is Han) of each word of a buffer of :func:`slices`; without ``split_han`` Han characters make words like others."""
     import numpy as np
 
-    begins, sep = word_starts(b)
+    begins, sep = word_starts(b, split_han)
     at = np.flatnonzero(begins)
     size = np.bincount(np.cumsum(begins)[~sep] - 1, minlength=len(at))
     sums, before, scale = prefix_sums(b, at)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.plan import fenced
+from hirelake.llm.bytewords import slices, word_hashes
 from hirelake.llm.components import connected_components
 from hirelake.session import cut
 from hirelake.sources.tables import table
@@ -49,37 +50,32 @@ COUNTED_TEXTS = 20_000
 
 
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.split(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Runs of letters and digits, in lower case, with single spaces between them."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
-    """Distinct hashes of all runs of ``k`` words."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k)))))
-
-
-def _shingles(words, sizes, k: int):
-    """(number of the text, hash) of the different runs of ``k`` words, from flat word hashes and word counts."""
+def _shingles(column, k: int):
+    """(number of the text, hash) of the different runs of ``k`` words of each text of words, in order."""
     import numpy as np
 
-    runs = sizes - k + 1
-    doc = np.repeat(np.arange(len(sizes)), runs)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(np.cumsum(sizes) - sizes, runs)
-    h = np.zeros(len(doc), np.uint64)
-    for j in range(k):
-        h = (h ^ words[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    first = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
-    return doc[first], h[first]
-
-
-def _batch_shingles(batch, k: int):
-    import numpy as np
-
-    lists = batch.column("words")
-    return _shingles(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64), k)
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for first, _, b in slices(column):
+        words, row, _ = word_hashes(b, split_han=False)
+        m = len(words) - k + 1
+        if m <= 0:
+            continue
+        h = np.zeros(m, np.uint64)
+        for j in range(k):
+            h = (h ^ words[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        whole = row[:m] == row[k - 1 :]
+        doc, h = row[:m][whole], h[whole]
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
+        docs.append(doc[new] + first)
+        hashes.append(h[new])
+    return np.concatenate(docs), np.concatenate(hashes)
 
 
 def _slots(h):
@@ -95,7 +91,7 @@ def _count(batches: Iterator, k: int) -> Iterator:
 
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        counts += np.bincount(_slots(_batch_shingles(batch, k)[1]), minlength=len(counts))
+        counts += np.bincount(_slots(_shingles(batch.column("words"), k)[1]), minlength=len(counts))
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
@@ -155,7 +151,7 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         if not batch.num_rows:
             continue
         ids = batch.column("id").to_numpy().view(np.uint64)
-        doc, h = _batch_shingles(batch, k)
+        doc, h = _shingles(batch.column("words"), k)
         n = np.bincount(doc, minlength=len(ids))
         bits = np.zeros((len(ids), BIT_WORDS), np.uint64)
         np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(2) & np.uint64(63)))
@@ -276,6 +272,24 @@ def _across(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["a", "b"])
 
 
+def _compared(batches: Iterator, k: int, together: int = 2000) -> Iterator:
+    """(id_a, id_b, jaccard) of (id_a, id_b, w_a, w_b), exactly."""
+    import numpy as np
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, together):
+            batch = whole.slice(at, together)
+            (doc_a, h_a), (doc_b, h_b) = (_shingles(batch.column(c), k) for c in ("w_a", "w_b"))
+            doc, h = np.r_[doc_a, doc_b], np.r_[h_a, h_b]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            shared = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])  # a shingle stands once in each of the two
+            common = np.bincount(doc[1:][shared], minlength=batch.num_rows)
+            union = np.bincount(doc, minlength=batch.num_rows) - common
+            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(common / np.maximum(union, 1))], names=["id_a", "id_b", "jaccard"])
+
+
 def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """``FOUND`` rows of each text with enough words: (ord, id, n, bits), where ``id`` hashes its words, so copies share it; and
     beside them the pairs (a, b) of short ids of texts with a key in common, and the members of heavy keys."""
@@ -284,8 +298,9 @@ def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORD
     spark = df.sparkSession
 
     def hashed(rows: DataFrame) -> DataFrame:
-        w = rows.select(F.col(order).cast("bigint").alias("ord"), fenced(words_of(F.col(text))).alias("__w")).where(F.size("__w") >= F.lit(max(least_words, k)))
-        return w.select("ord", F.xxhash64(F.array_join("__w", " ")).alias("id"), F.transform("__w", lambda x: F.xxhash64(x)).alias("words"))
+        w = rows.select(F.col(order).cast("bigint").alias("ord"), fenced(words_of(F.col(text))).alias("words"))
+        n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+        return w.where(n_words >= F.lit(max(least_words, k))).select("ord", F.xxhash64("words").alias("id"), "words")
 
     n_rows = df.count()
     if exact:
@@ -328,14 +343,11 @@ def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, simil
         some = F.broadcast(some)
     texts = df.select(F.col(order).cast("bigint").alias("ord"), F.col(text).alias("__text")).join(some, "ord")
     # words travel as text, which compresses; their shingles are made on the spot
-    words = texts.select("id", F.array_join(words_of(F.col("__text")), " ").alias("words"))
+    words = texts.select("id", words_of(F.col("__text")).alias("words"))
     pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     for side in ("a", "b"):
         pairs = pairs.join(words.withColumnsRenamed({"id": f"id_{side}", "words": f"w_{side}"}), f"id_{side}")
-    for side in ("a", "b"):
-        pairs = pairs.withColumn(f"w_{side}", fenced(F.split(F.col(f"w_{side}"), " "))).withColumn(f"s_{side}", fenced(shingle_hashes(F.col(f"w_{side}"), k)))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    pairs = pairs.withColumn("jaccard", fenced(common / (F.size("s_a") + F.size("s_b") - common)))
+    pairs = pairs.select("id_a", "id_b", "w_a", "w_b").mapInArrow(lambda batches: _compared(batches, k), "id_a bigint, id_b bigint, jaccard double")
     return pairs.where(F.col("jaccard") >= similarity).select("id_a", "id_b", "jaccard")
 
 
