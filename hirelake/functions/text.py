@@ -180,3 +180,14 @@ def bar(n: Column, full: str = "#", top: int = 20, per: int = 5) -> Column:
 def rate(part: Column, whole: Column) -> Column:
     """part / whole in percent, half up to one decimal; 0 without a whole."""
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.round(part * 100.0 / whole, 1))
+
+
+def condensed(roles: Column, most: int = 3) -> Column:
+    """The search words that stand for ``roles``: fewer words first, then in order; a role is left out if the words of a chosen one
+    hold its own, or are all among them; at most ``most`` stay."""
+    tokens = lambda r: F.array_distinct(F.filter(F.split(F.lower(r), r"\s+"), lambda w: w != ""))
+    within = lambda a, b: F.size(F.array_except(tokens(a), tokens(b))) == 0
+    clean = F.array_compact(F.coalesce(roles, F.array().cast("array<string>")))
+    order = F.array_sort(F.transform(clean, lambda r, i: F.struct(F.size(F.split(strip(r), r"\s+")).alias("n"), i.alias("i"), r.alias("r"))))
+    taken = lambda acc, x: F.exists(acc, lambda s: within(x["r"], s) | within(s, x["r"]))
+    return F.aggregate(order, F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) >= most) | taken(acc, x), acc).otherwise(F.concat(acc, F.array(x["r"]))))

@@ -146,6 +146,14 @@ _MATCHED = " + ".join(f"contains(lower(coalesce(description, '')), '{s}')::BIGIN
 _GAP = f"greatest(coalesce(list_max([CASE WHEN length(y) <= 4 THEN y::BIGINT ELSE 9999 END FOR y IN {_YEARS}]), 0) - 5, 0)"
 _SCORE = f"least(({_MATCHED}) * 2 + 2, CASE WHEN {_GAP} > 5 THEN 3 WHEN {_GAP} > 2 THEN 5 ELSE 10 END)"
 
+_WORDS = lambda r: rf"list_distinct([w FOR w IN regexp_split_to_array(lower({r}), '\s+') IF w <> ''])"
+_WITHIN = lambda a, b: f"list_has_all({_WORDS(b)}, {_WORDS(a)})"
+_CONDENSED = (
+    r"WITH o AS (SELECT session_key, list_sort([{'n': len(regexp_split_to_array(trim(r), '\s+')), 'i': i, 'r': r} FOR r, i IN coalesce(roles, []) IF r IS NOT NULL]) AS l FROM search_sessions), "
+    f"c AS (SELECT session_key, list_reduce(list_prepend(CAST([] AS VARCHAR[]), [[x.r] FOR x IN l]), lambda acc, x: CASE WHEN len(acc) >= 3 OR len([s FOR s IN acc IF {_WITHIN('x[1]', 's')} OR {_WITHIN('s', 'x[1]')}]) > 0 THEN acc ELSE list_concat(acc, x) END) AS w FROM o) "
+    "SELECT session_key, array_to_string(w, '|') AS words FROM c"
+)
+
 ORACLES: dict[str, str] = {
     "fn12_skill_tokens": r"SELECT session_key, array_to_string(list_sort(list_distinct([w FOR w IN regexp_split_to_array(lower(array_to_string(coalesce(roles, []), ',')), '[\s/\-,]+') IF length(w) > 1])), ' ') AS tokens FROM search_sessions",
     "fn16_lenient_dates": "WITH " + I.instants(r"SELECT ord AS id, date_posted AS value, 'UTC' AS tz, CASE WHEN regexp_matches(date_posted, '^\s*(?:1[3-9]|2\d|3[01])[/-]\d{1,2}[/-]') THEN 'en-IE' ELSE 'en-US' END AS locale, fetched_at AS anchor FROM job_cache") + " SELECT id AS ord, utc_us FROM instant",
@@ -296,5 +304,6 @@ ORACLES: dict[str, str] = {
     "snk17_export": f"WITH {_NEWEST}, s AS (SELECT row_number() OVER (ORDER BY coalesce(score, -1) DESC, fetched_at DESC, ord DESC) AS place, ord, coalesce(score, -1) AS sc FROM w WHERE NOT assessed OR relevant) SELECT '[' || coalesce(string_agg('{{\"place\":' || place || ',\"ord\":' || ord || ',\"score\":' || sc || '}}', ',' ORDER BY place), '') || ']' AS json FROM s",
     "snk18_normalised": f"WITH x AS (SELECT 'j' || ord AS id, title, company, url, date_posted, sources, CASE WHEN ord % 2 = 0 THEN raw_sources END AS raw_sources, is_complete FROM job_cache UNION ALL SELECT 'v' || visit_id, title, NULL, url, NULL, NULL, NULL, NULL FROM url_visits), y AS (SELECT *, CASE WHEN len(coalesce(sources, [])) > 0 THEN sources WHEN {_DOMAIN} <> '' THEN [{_DOMAIN}] ELSE [] END AS src FROM x) SELECT id, {_KEY} AS dedup_key, array_to_string([coalesce(z, '') FOR z IN src], '|') AS sources, CASE WHEN len(coalesce(raw_sources, [])) > 0 THEN array_to_string([coalesce(e.source, '') || ' ' || coalesce(e.url, '') || ' ' || coalesce(e.date_posted, '') FOR e IN raw_sources], '|') WHEN len(src) > 0 THEN coalesce(src[1], '') || ' ' || coalesce(url, '') || ' ' || coalesce(date_posted, '') ELSE '' END AS entries, coalesce(is_complete, true) AS is_complete FROM y",
     "t08_short_circuit": f"SELECT session_key, {_NOW_US} - epoch_us(created_at) <= 24 * 3600000000 AS hit, CASE WHEN {_NOW_US} - epoch_us(created_at) <= 24 * 3600000000 THEN coalesce(len(job_dedup_keys), 0) END::BIGINT AS saved FROM search_sessions",
+    "pred_24_condensed": _CONDENSED,
     "u03_ordered_union": "SELECT ord, array_to_string([x FOR x, i IN list_append(sources, 'archive.example') IF list_position(list_append(sources, 'archive.example'), x) = i], '|') AS value FROM job_cache",
 }

@@ -554,6 +554,7 @@ QUERIES: dict[str, Query] = {
     "pred_19_error_lines": lambda s, d: table(s, d, "url_visits").where(F.contains(F.concat(F.lit("x ["), F.upper("status"), F.lit("]")), F.lit("[ERROR]"))).select("visit_id"),
     "pred_22_has_profile": lambda s, d: table(s, d, "search_sessions").where(P.has_profile(_c("location"), _c("roles"))).select("session_key"),
     "pred_23_link_state": lambda s, d: table(s, d, "job_cache").where("coalesce(expires_at, '') = ''").select("ord", P.link_state(_c("description_snippet")).alias("state")),
+    "pred_24_condensed": lambda s, d: table(s, d, "search_sessions").select("session_key", F.array_join(T.condensed(_c("roles")), "|").alias("words")),
     "src06_scan": lambda s, d: _composite(s, d).where("score >= 0.6").select("url", "ord", "source"),
     "src06_counters": _scan_counters,
     "src08_titles": _title_scan,

@@ -42,6 +42,12 @@ def test_value(spark, make, value, want):
     assert one(spark, value, make) == want
 
 
+def test_condensed(spark):
+    rows = [(["Applied AI Engineer", "AI Engineer", "Data Engineer", "Chef", "Nurse"],), (["Senior Nurse", "nurse", None],), (None,), ([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "r array<string>").select(T.condensed(F.col("r"))).collect()]
+    assert got == [["Chef", "Nurse", "AI Engineer"], ["nurse"], [], []]
+
+
 def test_rates(spark):
     rows = spark.createDataFrame([(942, 996), (0, 0), (None, None)], "a int, b int")
     assert [r[0] for r in rows.select(T.rate(F.col("a"), F.col("b"))).collect()] == [94.6, 0.0, 0.0]
