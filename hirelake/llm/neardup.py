@@ -31,7 +31,7 @@ from hirelake.sources.tables import table
 SHINGLE = 3
 SIMILARITY = 0.5
 LEAST_WORDS = 25
-BIT_WORDS = 4  # 256 bits
+BIT_WORDS = 8  # 512 bits
 #: Minima of a band, and bands.
 ROWS, BANDS = 5, 128
 #: Groups of texts with one key up to this size give their pairs in place; larger ones in blocks of so many texts.
@@ -54,12 +54,18 @@ def words_of(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _shingles(column, k: int):
-    """(number of the text, hash) of the different runs of ``k`` words of each text of words, in order."""
+def _shingles(column, k: int, bits: int = 20):
+    """(number of the text, hash) of the different runs of ``k`` words of each text of words, in order of the text.
+
+    A text and a hash of 64 - ``bits`` bits are sorted as one number, so ``bits`` must hold the numbers of the texts of a slice.
+    """
     import numpy as np
 
     docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for first, _, b in slices(column):
+    low, high = np.uint64(bits), np.uint64(64 - bits)
+    for first, n, b in slices(column):
+        if n >> bits:
+            raise ValueError(f"{n} texts in a slice")
         words, row, _ = word_hashes(b, split_han=False)
         m = len(words) - k + 1
         if m <= 0:
@@ -69,12 +75,10 @@ def _shingles(column, k: int):
             h = (h ^ words[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         whole = row[:m] == row[k - 1 :]
-        doc, h = row[:m][whole], h[whole]
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
-        docs.append(doc[new] + first)
-        hashes.append(h[new])
+        both = np.sort(row[:m][whole].astype(np.uint64) << high | h[whole] >> low)
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+        docs.append((both >> high).astype(np.int64) + first)
+        hashes.append(_mixed(both << low))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
@@ -154,7 +158,7 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         doc, h = _shingles(batch.column("words"), k)
         n = np.bincount(doc, minlength=len(ids))
         bits = np.zeros((len(ids), BIT_WORDS), np.uint64)
-        np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(2) & np.uint64(63)))
+        np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(3) & np.uint64(63)))
         bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
         none = lambda kind, m=len(ids): pa.nulls(m, kind)
         yield pa.RecordBatch.from_arrays([pa.array((_mixed(ids) % np.uint64(parts)).astype(np.int32)), batch.column("ord"), batch.column("id"), pa.array(n.astype(np.int32)), bit_lists, none(pa.binary())], names=["part", "ord", "id", "n", "bits", "keys"])
@@ -166,12 +170,13 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         who, key = keys_of(doc, h, n[sends])
         part = ((key >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int32)
         packed = (key & np.uint64((1 << KEY_BITS) - 1)) << np.uint64(ID_BITS) | (ids[sends] & np.uint64((1 << ID_BITS) - 1))[who]
-        order = np.lexsort((packed, part))
+        part = part.astype(np.uint16 if parts <= 1 << 16 else np.int32)  # small numbers are sorted by counting
+        order = np.argsort(part, kind="stable")
         part, packed = part[order], packed[order]
         start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        blobs = pa.array([_folded(x) for x in np.split(packed, start[1:])] if len(part) else [], pa.binary())
+        blobs = pa.array([_folded(np.sort(x)) for x in np.split(packed, start[1:])] if len(part) else [], pa.binary())
         m = len(start)
-        yield pa.RecordBatch.from_arrays([pa.array(part[start]), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs], names=["part", "ord", "id", "n", "bits", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs], names=["part", "ord", "id", "n", "bits", "keys"])
 
 
 def _folded(x) -> bytes:
@@ -280,12 +285,11 @@ def _compared(batches: Iterator, k: int, together: int = 2000) -> Iterator:
     for whole in batches:
         for at in range(0, whole.num_rows, together):
             batch = whole.slice(at, together)
-            (doc_a, h_a), (doc_b, h_b) = (_shingles(batch.column(c), k) for c in ("w_a", "w_b"))
-            doc, h = np.r_[doc_a, doc_b], np.r_[h_a, h_b]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            shared = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])  # a shingle stands once in each of the two
-            common = np.bincount(doc[1:][shared], minlength=batch.num_rows)
+            # by 52 bits of a hash; each shingle stands once in each of the two sets
+            (doc_a, h_a), (doc_b, h_b) = (_shingles(batch.column(c), k, 12) for c in ("w_a", "w_b"))
+            both = np.sort(np.r_[doc_a, doc_b].astype(np.uint64) << np.uint64(52) | np.r_[h_a, h_b] >> np.uint64(12))
+            doc = (both >> np.uint64(52)).astype(np.int64)
+            common = np.bincount(doc[1:][both[1:] == both[:-1]], minlength=batch.num_rows)
             union = np.bincount(doc, minlength=batch.num_rows) - common
             yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(common / np.maximum(union, 1))], names=["id_a", "id_b", "jaccard"])
 
