@@ -37,7 +37,7 @@ ROWS, BANDS = 5, 128
 #: Groups of texts with one key up to this size give their pairs in place; larger ones in blocks of so many texts.
 IN_PLACE = 1024
 #: Keys in a part, about: 8 bytes each.
-PART_KEYS = 500_000
+PART_KEYS = 250_000
 #: A packed key: so many bits of the key above so many of the id.
 KEY_BITS, ID_BITS = 24, 40
 #: Ids of candidates, of 16 bytes, are broadcast up to this count, which is taken first; beyond it they are shuffled.
