@@ -140,6 +140,65 @@ def parsed_names(values: DataFrame, column: str, **words) -> DataFrame:
     return values.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct().mapInPandas(run, PARSED)
 
 
+def learned_trades(values: DataFrame, column: str, legal: set[str] = LEGAL, least_cores: int = 20, least_shared: int = 3, most: int = 2000) -> dict[str, str]:
+    """Lines of business and their short forms as the spellings in ``column`` show them, in the form of ``TRADES``.
+
+    A trade is a word of three letters or more that closes at least ``least_cores`` different names and stands last in more than half of
+    the spellings that hold it; at most the ``most`` most frequent ones come to the driver. A short form begins like its trade, has its letters in
+    order, and closes at least ``least_shared`` of the same names. Few or no spellings give few or no trades.
+    """
+    legal = frozenset(legal)
+
+    def split(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for v in pdf["name"]:
+                text = unicodedata.normalize("NFKD", NOTES.sub(" ", v).replace("ß", "ss").lower())
+                words = [w for w in re.findall(r"[^\W_]+", "".join(c for c in text if not unicodedata.combining(c))) if w not in legal]
+                if len(words) > 1:
+                    rows.append((" ".join(words[:-1]), words[-1], words[:-1]))
+            yield pd.DataFrame(rows, columns=["core", "last", "others"])
+
+    names = values.select(F.col(column).alias("name")).where("name is not null").distinct()
+    parts = cut(names.mapInPandas(split, "core string, last string, others array<string>"))
+    ends = parts.where(F.length("last") > 2).groupBy("last").agg(F.count("*").alias("n"), F.count_distinct("core").alias("cores")).where(F.col("cores") >= least_cores)
+    inside = parts.select(F.explode(F.array_distinct("others")).alias("last")).groupBy("last").agg(F.count("*").alias("inside"))
+    trades = [r["last"] for r in ends.join(inside, "last", "left").where(F.col("n") > F.coalesce("inside", F.lit(0))).orderBy(F.desc("cores"), "last").limit(most).collect()]
+    if not trades:
+        return {}
+    pairs = parts.select("core", "last").distinct()
+    full = pairs.where(F.col("last").isin(trades)).withColumnRenamed("last", "full")
+    shared = pairs.join(full, "core").where((F.length("last") < F.length("full")) & (F.length("last") > 1) & (F.left("last", F.lit(1)) == F.left("full", F.lit(1))))
+    counted = shared.groupBy("full", "last").agg(F.count("*").alias("n")).where(F.col("n") >= least_shared).orderBy(F.desc("n"), "full", "last").limit(4 * most).collect()
+
+    def in_order(short: str, full: str) -> bool:
+        letters = iter(full)
+        return all(c in letters for c in short)
+
+    of: dict[str, str] = {}
+    for r in counted:
+        if in_order(r["last"], r.full):
+            of.setdefault(r["last"], r.full)
+    shorts: dict[str, list[str]] = {t: [] for t in trades if t not in of}
+    for short, full in of.items():
+        while full in of:
+            full = of[full]
+        shorts.setdefault(full, []).append(short)
+    return {t: " ".join(xs) for t, xs in shorts.items()}
+
+
+def with_learned(given: dict[str, str], learned: dict[str, str]) -> dict[str, str]:
+    """Both lists in one; a learned word that the given list knows as a short form stays with its trade there."""
+    of = {w: full for full, shorts in given.items() for w in [full, *shorts.split()]}
+    out = {full: shorts.split() for full, shorts in given.items()}
+    for full, shorts in learned.items():
+        home = of.get(full, full)
+        out[home] = list(dict.fromkeys([*out.get(home, []), *(w for w in [full, *shorts.split()] if w != home and of.get(w, home) == home)]))
+    return {full: " ".join(shorts) for full, shorts in out.items()}
+
+
 def _segments(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(start, size) of segment ``i`` when ``length`` letters are cut into ``parts`` nearly even segments."""
     start = F.floor(length * i / parts)
@@ -181,14 +240,17 @@ def segment_pairs(strings: DataFrame, probes: DataFrame, k: int = MAX_EDITS, bri
     return pairs.where(near).select("id_a", "id_b").distinct()
 
 
-def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS, **words) -> DataFrame:
+def linked_names(values: DataFrame, column: str, k: int = MAX_EDITS, trades: dict[str, str] | None = None, **words) -> DataFrame:
     """(name, entity) for each distinct spelling in ``column`` that names an organisation.
 
     ``entity`` numbers the organisation and is the same for linked spellings. The lists of trades, legal forms, nicknames and
-    stand-ins are parameters (``words``, as of :class:`Parser`). NULL, blank and stand-in
+    stand-ins are parameters (``words``, as of :class:`Parser`); without ``trades`` they are ``TRADES`` and what
+    :func:`learned_trades` finds in the column itself. NULL, blank and stand-in
     values are left out. Repeated rows count once; an empty table gives no rows.
     """
-    p = parsed_names(values, column, **words)
+    if trades is None:
+        trades = with_learned(TRADES, learned_trades(values, column))
+    p = parsed_names(values, column, trades=trades, **words)
     core = F.array_join(F.array_sort("tokens"), " ")
     p = cut(p.withColumn("id", F.xxhash64(core, F.col("trade"))))
     nodes = p.groupBy("id").agg(F.first(F.struct("tokens", "trade")).alias("x")).select("id", "x.tokens", "x.trade")

@@ -79,3 +79,21 @@ def test_short_names(spark):
     for g in groups:
         assert len({got[v] for v in g}) == 1, g
     assert len({got[g[0]] for g in groups}) == len(groups)
+
+
+def test_trades_are_learned(spark):
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice(["ka", "lo", "mir", "ten", "dus", "vel", "or", "pin"]) for _ in range(4))
+    rows = []
+    for trade, short in (("shipwrights", "shpwrts"), ("apothecaries", "apoth")):
+        for i in range(40):
+            core = f"{part()} {part()}"
+            rows += [(f"{core} {trade} Ltd",), (core + " " + (short if i % 3 else trade),)]
+    df = spark.createDataFrame(rows, "company string")
+    learned = N.learned_trades(df, "company")
+    assert learned == {"shipwrights": "shpwrts", "apothecaries": "apoth"}
+    assert N.with_learned({"wrights": "shipwrights wrts", "baker": ""}, learned) == {"wrights": "shipwrights wrts shpwrts", "baker": "", "apothecaries": "apoth"}
+    # with the list emptied the spellings of a name still come together
+    linked = {r.name: r.entity for r in N.linked_names(df, "company", trades=learned).collect()}
+    assert len(set(linked.values())) == 80 and all(linked[rows[i][0]] == linked[rows[i + 1][0]] for i in range(0, len(rows), 2))
+    assert N.learned_trades(df.limit(0), "company") == {}
