@@ -173,7 +173,7 @@ WITH t AS (SELECT coalesce(sources[1], 'unknown') AS source, description_snippet
      p AS (SELECT *, CASE WHEN n > at_risk * hazard THEN -(n * ln(n / (at_risk * hazard)) - n + at_risk * hazard) ELSE 0 END AS log_p FROM z),
      k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY log_p, n_chars) AS rank, count(*) OVER (PARTITION BY source) AS m FROM p),
      s AS (SELECT *, max(CASE WHEN log_p <= ln({FDR} * rank / m) THEN rank END) OVER (PARTITION BY source) AS last FROM k)
-SELECT source AS board, n_chars, n, at_risk FROM s WHERE rank <= last
+SELECT source AS board, n_chars::INTEGER AS n_chars, n, at_risk FROM s WHERE rank <= last
 """
 
 
