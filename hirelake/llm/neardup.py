@@ -108,7 +108,7 @@ def _mixed(x):
 
 
 def _band_keys(doc, h, n):
-    """(number of the text, key) of the bands of each text; all texts have a shingle."""
+    """(number of the text, key, None) of the bands of each text; all texts have a shingle."""
     import numpy as np
 
     rng = np.random.default_rng(20250701)
@@ -129,20 +129,32 @@ def _band_keys(doc, h, n):
                 key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
             keys[b, text:stop] = key
         text = stop
-    return np.tile(np.arange(len(n)), BANDS), keys.reshape(-1)
+    return np.tile(np.arange(len(n)), BANDS), keys.reshape(-1), None
 
 
 def _prefix_keys(doc, h, n, similarity: float, counts):
-    """(number of the text, key) of the prefix of each text in the order of ``counts``."""
+    """(number of the text, key, sizes) of the prefix of each text in the order of ``counts``; sizes hold how many shingles the text has, and
+    how many from this one on."""
     import numpy as np
 
     prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
     order = np.lexsort((h, counts[_slots(h)], doc))
-    keep = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < prefix[doc]  # doc is in order before and after
-    return doc[keep], _mixed(h[order][keep])
+    at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]  # doc is in order before and after
+    keep = at < prefix[doc]
+    d, rest = doc[keep], (n[doc] - at)[keep]
+    few = lambda x: np.minimum(x, 65535).astype(np.uint32)  # noqa: E731 - less than there are only lets more pairs pass
+    return d, _mixed(h[order][keep]), few(n[d]) << np.uint32(16) | few(rest)
 
 
-SKETCHED = "part int, ord bigint, id bigint, n int, bits array<bigint>, keys binary"
+def _enough(a, b, similarity: float):
+    """At their first shingle in common the rest of both texts must hold all that they have to share."""
+    import numpy as np
+
+    n = (a >> np.uint32(16)).astype(np.int64) + (b >> np.uint32(16))
+    return np.minimum(a & np.uint32(65535), b & np.uint32(65535)) * (1 + similarity) >= n * similarity - 1e-6
+
+
+SKETCHED = "part int, ord bigint, id bigint, n int, bits array<bigint>, keys binary, sizes binary"
 FOUND = "ord bigint, id bigint, n int, bits array<bigint>, a bigint, b bigint, heavy bigint, members binary"
 
 
@@ -161,22 +173,28 @@ def _sketch(batches: Iterator, k: int, parts: int, keys_of) -> Iterator:
         np.bitwise_xor.at(bits, (doc, (h & np.uint64(BIT_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(3) & np.uint64(63)))
         bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
         none = lambda kind, m=len(ids): pa.nulls(m, kind)
-        yield pa.RecordBatch.from_arrays([pa.array((_mixed(ids) % np.uint64(parts)).astype(np.int32)), batch.column("ord"), batch.column("id"), pa.array(n.astype(np.int32)), bit_lists, none(pa.binary())], names=["part", "ord", "id", "n", "bits", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array((_mixed(ids) % np.uint64(parts)).astype(np.int32)), batch.column("ord"), batch.column("id"), pa.array(n.astype(np.int32)), bit_lists, none(pa.binary()), none(pa.binary())], names=["part", "ord", "id", "n", "bits", "keys", "sizes"])
         _, first = np.unique(ids, return_index=True)  # copies in a batch send their keys once
         sends = np.zeros(len(ids), bool)
         sends[first] = True
         mine = sends[doc]
         doc, h = (np.cumsum(sends) - 1)[doc[mine]], h[mine]
-        who, key = keys_of(doc, h, n[sends])
+        who, key, sizes = keys_of(doc, h, n[sends])
         part = ((key >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int32)
         packed = (key & np.uint64((1 << KEY_BITS) - 1)) << np.uint64(ID_BITS) | (ids[sends] & np.uint64((1 << ID_BITS) - 1))[who]
         part = part.astype(np.uint16 if parts <= 1 << 16 else np.int32)  # small numbers are sorted by counting
         order = np.argsort(part, kind="stable")
         part, packed = part[order], packed[order]
         start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        blobs = pa.array([_folded(np.sort(x)) for x in np.split(packed, start[1:])] if len(part) else [], pa.binary())
+        pieces = np.split(packed, start[1:]) if len(part) else []
+        if sizes is None:
+            blobs, more = pa.array([_folded(np.sort(x)) for x in pieces], pa.binary()), none(pa.binary(), len(pieces))
+        else:
+            turns = [np.argsort(x) for x in pieces]
+            blobs = pa.array([_folded(x[t]) for x, t in zip(pieces, turns, strict=True)], pa.binary())
+            more = pa.array([x[t].tobytes() for x, t in zip(np.split(sizes[order], start[1:]) if len(part) else [], turns, strict=True)], pa.binary())
         m = len(start)
-        yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs], names=["part", "ord", "id", "n", "bits", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), none(pa.int64(), m), none(pa.int64(), m), none(pa.int32(), m), none(bit_lists.type, m), blobs, more], names=["part", "ord", "id", "n", "bits", "keys", "sizes"])
 
 
 def _folded(x) -> bytes:
@@ -213,7 +231,7 @@ def _pairs(of, run, longest: int) -> Iterator:
         yield tuple(np.concatenate([x[i] for x in out]) for i in (0, 1))
 
 
-def _meet(batches: Iterator, in_place: int) -> Iterator:
+def _meet(batches: Iterator, in_place: int, similarity: float) -> Iterator:
     """``FOUND`` rows of a partition of ``SKETCHED`` ones: the texts as they are, pairs of short ids, and members of heavy keys in blocks."""
     import numpy as np
     import pyarrow as pa
@@ -227,8 +245,8 @@ def _meet(batches: Iterator, in_place: int) -> Iterator:
             m = texts.num_rows
             yield pa.RecordBatch.from_arrays([*(texts.column(c) for c in names[:4]), *(pa.nulls(m, t) for t in (pa.int64(),) * 3), pa.nulls(m, pa.binary())], names=names)
         kept = batch.filter(keys.is_valid())
-        for part, data in zip(kept.column("part").to_pylist(), kept.column("keys"), strict=True):
-            blobs.setdefault(part, []).append(_unfolded(data.as_py()))
+        for part, data, more in zip(kept.column("part").to_pylist(), kept.column("keys"), kept.column("sizes"), strict=True):
+            blobs.setdefault(part, []).append((_unfolded(data.as_py()), None if more.as_py() is None else np.frombuffer(more.as_py(), np.uint32)))
     bit_type = pa.list_(pa.int64())
     seen: list = []  # pairs of this task, each once as far as memory allows
 
@@ -246,13 +264,22 @@ def _meet(batches: Iterator, in_place: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), bit_type)), pa.array(x), pa.array(y), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
 
     for part, arrays in blobs.items():
-        packed = np.unique(np.concatenate(arrays))  # copies meet here
+        sizes = None
+        if arrays[0][1] is None:
+            packed = np.unique(np.concatenate([x for x, _ in arrays]))  # copies meet here
+        else:
+            packed, at = np.unique(np.concatenate([x for x, _ in arrays]), return_index=True)
+            sizes = np.concatenate([x for _, x in arrays])[at]
         key, ids = packed >> np.uint64(ID_BITS), (packed & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         light = np.repeat((size > 1) & (size <= in_place), size)
-        for pair in _pairs(ids[light], key[light], in_place):
-            seen.append(pair)
+        places = np.flatnonzero(light)
+        for x, y in _pairs(places, key[light], in_place):
+            if sizes is not None:
+                fits = _enough(sizes[x], sizes[y], similarity)
+                x, y = x[fits], y[fits]
+            seen.append((ids[x], ids[y]))
             yield from once(1 << 22)
         for s, m in zip(start[size > in_place], size[size > in_place], strict=True):
             blocks = [ids[s + i : s + min(m, i + in_place)].tobytes() for i in range(0, m, in_place)]
@@ -321,7 +348,7 @@ def sketched(df: DataFrame, order: str, text: str, least_words: int = LEAST_WORD
     parts = 4 * tasks
     rows = hashed(df).mapInArrow(lambda batches: _sketch(batches, k, parts, keys_of), SKETCHED)
     in_place = IN_PLACE
-    return cut(rows.repartition(tasks, "part").mapInArrow(lambda batches: _meet(batches, in_place), FOUND))
+    return cut(rows.repartition(tasks, "part").mapInArrow(lambda batches: _meet(batches, in_place, similarity), FOUND))
 
 
 def similar_ids(df: DataFrame, order: str, text: str, sketches: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:

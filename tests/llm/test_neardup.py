@@ -91,7 +91,7 @@ def test_recall_by_size_and_similarity():
                 x = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
                 sets += [x[:size], np.r_[x[:common], x[size:]]]
             n = np.full(len(sets), size)
-            who, key = N._band_keys(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), n)
+            who, key, _ = N._band_keys(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), n)
             keys = key.reshape(N.BANDS, -1)
             met = (keys[:, 0::2] == keys[:, 1::2]).any(0).mean()
             assert met >= 0.96, (size, j, met)
